@@ -123,7 +123,7 @@ def chunks(column: pa.Array, table: np.ndarray, lower: bool, limit: int = CHUNK)
     row = 0
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1)
-        stop = min(stop, n)
+        stop = min(stop, n, row + (1 << 16))
         buf = data[offs[row] : offs[stop]]
         yield Words(row, LOWER[buf] if lower else buf, offs[row : stop + 1] - offs[row], table)
         row = stop
