@@ -10,6 +10,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .ngram_join import ngram_components
+from .substring_dedup import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
 }
 
