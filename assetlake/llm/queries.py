@@ -10,9 +10,11 @@ from .chat_format import chat_format
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .lm_scoring import cross_entropy_difference
 from .mixing import mix
 from .ngram_join import ngram_components
 from .substring_dedup import substring_dedup
+from .token_output import materialised, records
 from .toxicity import toxicity
 
 
@@ -38,6 +40,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(materialised(table(spark, sf_dir, "documents")))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_token_output": op6_token_output,
     "op7_ngram_join": op7_ngram_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mixing": op9_mixing,
