@@ -144,23 +144,23 @@ def _is_drawn() -> Column:
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with columns mix_source_size, mix_target and mix_copies, by the plan."""
+    """(row, source_size, target, copies) by the plan; row holds the columns of ``docs``."""
     small = plan.count() <= BROADCAST_SOURCES
-    names = docs.columns
-    row = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), source_key(F.col(source_col)).alias("key"), F.col(id_col).alias("doc_id"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), source_key(F.col(source_col)).alias("key"), F.col(id_col).alias("doc_id"))
     joined = _ranked(_joined(row, plan, small), seed)
     place = F.col("rank") / (1 + F.col("rank"))
     joined = joined.withColumn("bin1", F.floor(place * BINS)).withColumn("bin2", F.floor(place * BINS * BINS))
-    extra = F.when(F.col("part") > 0, (_is_drawn() | F.col("doc_id").eqNullSafe(F.col("closing")) & F.col("closing").isNotNull()).cast("long")).otherwise(F.lit(0))
-    return joined.withColumn("copies", F.col("whole") + extra).select("row.*", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
+    closes = F.coalesce(F.col("doc_id") == F.col("closing"), F.lit(False))
+    extra = F.when(F.col("part") > 0, (_is_drawn() | closes).cast("long")).otherwise(F.lit(0))
+    return joined.select("row", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix with the columns of ``docs``, each as often as it is taken."""
     seed = options.get("seed", "mix")
     out = with_copies(docs, mix_plan(docs, **options), seed, options.get("id_col", "doc_id"), options.get("source_col", "source"))
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))
-    return out.where("mix_copies > 0").withColumn("mix_copy", copies).select(*docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))
+    return out.where("copies > 0").withColumn("copy", copies).select("row.*")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
@@ -174,4 +174,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, se
     plan = mix_plan(own, weights, most, seed)
     sized = own.select("doc_id", "source", size_of(F.col("text")).alias("size"))
     out = with_copies(sized, plan, seed)
-    return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_copies")).alias("taken"))
+    return out.select("row.doc_id", "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"))

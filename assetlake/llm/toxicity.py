@@ -4,7 +4,8 @@ A document is a bag of sentences. A sentence's score is a logistic function of t
 features it holds; the document's is their noisy-or, 1 - prod(1 - p): toxic if any
 sentence is. Only documents are labelled; the gradient of the noisy-or likelihood
 shares a document's label out to its sentences, so the fitted sentence scores also
-say which sentences offend.
+say which sentences offend. A sentence without any kept feature has the fixed score ``CALM``,
+so that the length of a clean document does not add up to toxicity.
 
 Features are whole words and their beginnings of 3 to 6 bytes, lower-cased (A-Z). Spark
 counts, over a bounded sample of labelled documents, in how many toxic and other
@@ -28,6 +29,8 @@ from .session import written
 from .words import ALNUM, Words, chunks, mixed, per_batch, signed
 
 BEGINNINGS = (3, 4, 5, 6)
+#: Score of a sentence without kept features.
+CALM = 1e-8
 #: A sentence ends at one of these bytes.
 _STOP = np.zeros(256, bool)
 _STOP[[0x0A, 0x0D, *b".!?;|"]] = True
@@ -90,10 +93,10 @@ class Model:
         sentence, s, k = self.found(w)
         n = int(sentence[-1]) + 1 if len(sentence) else 0
         z = self.base + np.bincount(s, self.weights[k], n)
+        p = np.where(np.bincount(s, minlength=n) > 0, 1 / (1 + np.exp(-z)), CALM)
         text = np.zeros(n, np.int64)
         text[sentence] = w.text_of()
-        calm = np.bincount(text, np.logaddexp(0, z), len(w))
-        return -np.expm1(-calm), sentence, 1 / (1 + np.exp(-z))
+        return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(w))), sentence, p
 
 
 def fitted(bags: list[tuple[int, int, list[list[int]]]], n: int, start: np.ndarray, steps: int = 300, rate: float = 0.05, shrink: float = 0.02) -> tuple[np.ndarray, float]:
@@ -107,19 +110,19 @@ def fitted(bags: list[tuple[int, int, list[list[int]]]], n: int, start: np.ndarr
     inner = [s for b in bags for s in b[2]]
     owner = np.repeat(np.arange(len(inner)), [len(s) for s in inner])
     k = np.array([f for s in inner for f in s], np.int64)
-    x = np.concatenate([start * 0.5, [-7.0]])
+    x = np.concatenate([start * 0.5, [-3.0]])
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         z = x[n] + np.bincount(owner, x[k], len(inner))
-        calm = np.bincount(bag, np.logaddexp(0, z), len(bags)) + empty * np.logaddexp(0, x[n])
+        calm = np.bincount(bag, np.logaddexp(0, z), len(bags)) + empty * CALM
         p = np.clip(-np.expm1(-calm), 1e-9, 1)
         pull = np.where(y > 0, (1 - p) / p, -1.0)
         dz = pull[bag] / (1 + np.exp(-z))
-        d = np.concatenate([np.bincount(k, dz[owner], n), [dz.sum() + (pull * empty).sum() / (1 + np.exp(-x[n]))]])
+        d = np.concatenate([np.bincount(k, dz[owner], n), [dz.sum()]])
         d[:n] -= shrink * x[:n] * len(bags) ** 0.5
         m, v = 0.9 * m + 0.1 * d, 0.999 * v + 0.001 * d * d
         x = x + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        x[n] = min(x[n], -4.0)
+        x[n] = min(x[n], -1.0)
     return x[:n], float(x[n])
 
 
