@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, formats
-from .arrow import flat_map
+from .arrow import _batch, arrow_schema, flat_map
+from .stack import publish
 
 #: Fixed value: flags that an object may have.
 FLAGS = (b"\x08\xc0\x00", b"\x18\xc0\x00")
@@ -158,7 +159,7 @@ def rebuilt(objects_: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
     """Rebuilds containers into a folder: container, target, size, objects, changed, error.
 
     edits: container, index, source. New offsets are running sums of sizes; the table keeps its bytes but for offsets
-    and sizes. Payloads stream past one writer per container in their order.
+    and sizes. A target with the same content counts as written; any other is left. Payloads stream past one writer per container in their order.
     """
 
     def measured(container, index, source) -> Iterator[tuple]:
@@ -171,8 +172,6 @@ def rebuilt(objects_: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
     plan = plan.withColumn("o", binary.encode_offset(F.col("final_offset"))).withColumn("s", binary.encode_size(F.col("final_size")))
     parts = plan.select("container", "location", "header_end", "index", "offset_field", "size_field", "o", "s", "payload_offset", "payload_size", "source")
     schema = "container string, target string, size long, objects long, changed long, error string"
-    from .arrow import _batch, arrow_schema
-
     arrow = arrow_schema(schema)
 
     def write(batches) -> Iterator:
@@ -180,10 +179,13 @@ def rebuilt(objects_: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
 
         def finish() -> None:
             state["out"].close(), state["src"].close()
-            if state["error"]:
+            try:
+                if not state["error"]:
+                    publish(state["part"], state["target"])
+            except OSError as e:
+                state["error"] = str(e)
+            if os.path.exists(state["part"]):
                 os.remove(state["part"])
-            else:
-                os.replace(state["part"], state["target"])
             ok = not state["error"]
             done.append((now, state["target"] if ok else None, os.path.getsize(state["target"]) if ok else None, state["n"], state["changed"], state["error"]))
 
@@ -195,7 +197,7 @@ def rebuilt(objects_: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
                     now, target = container, os.path.join(folder, container)
                     os.makedirs(os.path.dirname(target), exist_ok=True)
                     part = f"{target}.{os.getpid()}.part"
-                    state = {"target": target, "part": part, "out": open(part, "w+b"), "src": open(location, "rb"), "n": 0, "changed": 0, "error": "the target is there already" if os.path.exists(target) else None}  # noqa: SIM115
+                    state = {"target": target, "part": part, "out": open(part, "w+b"), "src": open(location, "rb"), "n": 0, "changed": 0, "error": None}  # noqa: SIM115
                     state["out"].write(state["src"].read(end))
                 if state["error"]:
                     continue

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from .arrow import _batch, arrow_schema, flat_map
+from .catalog import digest
 
 #: Keys that archives in use have, tried in this order after a given one.
 KEYS = [
@@ -123,6 +124,16 @@ def stack_index(files: DataFrame, key: bytes | None = None) -> DataFrame:
     return flat_map(rows, read, ENTRIES)
 
 
+def publish(part: str, target: str) -> None:
+    """Gives a whole file its name, unless another file has it."""
+    if not os.path.exists(target):
+        os.replace(part, target)
+    elif digest(part) == digest(target):
+        os.remove(part)
+    else:
+        raise FileExistsError("another file is there already")
+
+
 def payload(location: str, offset: int, stored: int, unpacked: int, header: bytes) -> Iterator[bytes]:
     """Blocks of an entry's content: its header bytes and body, inflated if packed. Checks its end."""
 
@@ -181,7 +192,8 @@ def payloads(entries: DataFrame, with_content: bool = True) -> DataFrame:
 def extracted(entries: DataFrame, folder: str) -> DataFrame:
     """Writes each entry under folder/archive stem/path, and returns archive, ordinal, path, extracted_size, extracted_sha256, error.
 
-    A file is written under another name and renamed when it is whole; a file that is there is left and reported.
+    A file is written under another name and renamed when it is whole. One that is there with the same content counts as
+    written, so that a repeated task or run does no harm; any other is left and reported.
     """
 
     def write(archive, location, ordinal, path, offset, stored, unpacked, header) -> Iterator[tuple]:
@@ -189,15 +201,13 @@ def extracted(entries: DataFrame, folder: str) -> DataFrame:
         part = f"{target}.{os.getpid()}.part"
         h, size = hashlib.sha256(), 0
         try:
-            if os.path.exists(target):
-                raise FileExistsError("the file is there already")
             os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(part, "wb") as f:
                 for block in payload(location, offset, stored, unpacked, header):
                     h.update(block)
                     size += len(block)
                     f.write(block)
-            os.replace(part, target)
+            publish(part, target)
         except (OSError, ValueError, zlib.error) as e:
             if os.path.exists(part):
                 os.remove(part)
@@ -214,7 +224,7 @@ def rebuilt(entries: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
 
     edits: archive, path, source (a file that stands for the entry). Entries stream past one writer per archive in
     their order; all others are copied byte by byte. Packed edits are deflated again; the index gets its true length.
-    An existing target is never overwritten.
+    A target that is there with the same content counts as written; any other is never overwritten.
     """
     e = edits.select("archive", "path", "source")
     plan = entries.where("error is null").join(e, ["archive", "path"], "left")
@@ -248,9 +258,6 @@ class _Rebuild:
         self.target = os.path.join(folder, archive)
         self.part = f"{self.target}.{os.getpid()}.part"
         self.index, self.n, self.modified, self.error, self.pending = [], 0, 0, None, None
-        if os.path.exists(self.target):
-            self.error = "the target is there already"
-            return
         os.makedirs(os.path.dirname(self.target), exist_ok=True)
         self.out = open(self.part, "wb")  # noqa: SIM115
         self.source = open(location, "rb")  # noqa: SIM115
@@ -315,11 +322,13 @@ class _Rebuild:
                 f.seek(size - 32 - len(data))
                 if len(opened(f.read(len(data)), size, self.key or None)[2]) != self.n:
                     self.error = "the rebuilt index does not read back"
-        if hasattr(self, "out"):
-            self.out.close(), self.source.close()
-            if self.error:
-                os.remove(self.part)
-            else:
-                os.replace(self.part, self.target)
+        self.out.close(), self.source.close()
+        try:
+            if self.error is None:
+                publish(self.part, self.target)
+        except OSError as e:
+            self.error = str(e)
+        if os.path.exists(self.part):
+            os.remove(self.part)
         done = self.error is None
         return self.archive, self.target if done else None, os.path.getsize(self.target) if done else None, self.n, self.modified, self.error

@@ -74,7 +74,11 @@ def test_rebuild_and_extract(spark, folder, tmp_path):
     want = {**FILES, "INI/TWO.INI": edit.read_bytes(), "DATA/RAW.BIN": b"x"}
     assert {r.path: r.content for r in payloads(again.where("archive = 'a.gpk'")).collect()} == want
     assert {r.path: r.content for r in payloads(again.where("archive = 'b.gpk'")).collect()} == FILES
-    assert all("already" in r.error for r in rebuilt(entries, edits, str(out)).collect())
+    assert [r.error for r in rebuilt(entries, edits, str(out)).collect()] == [None] * 3  # a repeated run writes the same
+    other = {r.archive: r.error for r in rebuilt(entries, edits.limit(0), str(out)).collect()}
+    assert "already" in other["a.gpk"] and other["b.gpk"] is None
     files = extracted(again, str(tmp_path / "ws")).collect()
     assert all(r.error is None for r in files) and (tmp_path / "ws/a/INI/TWO.INI").read_bytes() == edit.read_bytes()
-    assert all("already" in r.error for r in extracted(again, str(tmp_path / "ws")).collect())
+    assert all(r.error is None for r in extracted(again, str(tmp_path / "ws")).collect())
+    (tmp_path / "ws/b/INI/ONE.INI").write_bytes(b"edited")
+    assert {r.archive: r.error for r in extracted(again, str(tmp_path / "ws")).collect() if r.error} == {"b.gpk": "another file is there already"}
