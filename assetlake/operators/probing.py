@@ -37,3 +37,19 @@ def first_difference(pairs: DataFrame, left: str = "left", right: str = "right",
     inside = F.filter(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: (F.col("_k") * block + i < least) & (F.hex(part("_a", F.col("_k") * block + i + 1, F.lit(1))) != F.hex(part("_b", F.col("_k") * block + i + 1, F.lit(1)))))
     place = F.when(F.col("_k").isNotNull(), F.coalesce((F.col("_k") * block + F.get(inside, F.lit(0))).cast("long"), least.cast("long"))).when(F.octet_length("_a") != F.octet_length("_b"), least.cast("long"))
     return rows.withColumn("first_difference", place).withColumn("identical", F.col("first_difference").isNull()).drop("_a", "_b", "_k")
+
+
+
+def find_bytes(files: DataFrame, keys: list[tuple[str, bytes]], content: str = "content") -> DataFrame:
+    """path, key, place (from 0): the first of a few byte strings, in their order, that each file holds.
+
+    The search is on two hexadecimal digits and a space a byte, so that only whole bytes match.
+    """
+    spaced = F.regexp_replace(F.hex(content), "(..)", "$1 ")
+    rows = files.select("path", spaced.alias("h"))
+    out = None
+    for name, raw in keys:
+        at = F.instr("h", raw.hex(" ").upper() + " ")
+        hit = F.struct(F.lit(name).alias("key"), ((at - 1) / 3).cast("long").alias("place"))
+        out = F.when(at > 0, hit) if out is None else out.when(at > 0, hit)
+    return rows.select("path", out.alias("hit")).where("hit is not null").select("path", "hit.key", "hit.place")

@@ -130,3 +130,11 @@ def test_companions(spark):
     r = spark.createDataFrame([("d", "TITLE_WIDE"), ("d", "both_H"), ("d", "none_FULL")], "folder string, stem string")
     p = spark.createDataFrame([("d", "title", "d/TITLE.PNG"), ("d", "BOTH", "d/both.png"), ("d", "both_h", "d/both_h.png"), ("e", "none", "e/none.png")], "folder string, stem string, path string")
     assert {x.stem: x.picture for x in raster.companions(r, p).collect()} == {"TITLE_WIDE": "d/TITLE.PNG", "both_H": "d/both_h.png"}
+
+
+def test_find_bytes(spark):
+    key, other = bytes(range(16)), b"\x21\x12"
+    rows = [("a.exe", bytearray(b"MZ" + bytes(128) + key + bytes(64))), ("b.exe", bytearray(b"\x12\x11\x20")), ("c.exe", bytearray(b"z\x21\x12" + key)), ("none", None)]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: (r.key, r.place) for r in probing.find_bytes(df, [("first", key), ("second", other)]).collect()}
+    assert got == {"a.exe": ("first", 130), "c.exe": ("first", 3)}
