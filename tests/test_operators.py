@@ -14,7 +14,7 @@ def column(spark, values, kind, f):
 @pytest.mark.parametrize(
     "header,extension,size,label",
     [
-        (b"\x89PNG\r\n\x1a\nrest", "", None, "PNG"), (b"RIFF\0\0\0\0WAVE", "", None, "WAV"), (b"RIFF", "", None, "RIFF container (WAV/AVI/WebP)"), (b"SDHQ", "", None, "UNKNOWN"),
+        (b"\x89PNG\r\n\x1a\nrest", "", None, "PNG"), (b"RIFF\0\0\0\0WAVE", "", None, "WAV"), (b"RIFF", "", None, "RIFF container (WAV/AVI/WebP)"), (b"ABCD", "", None, "UNKNOWN"),
         (b" \n[SkipFRAME]=1", ".ors", None, "ORS script"), (b"\0\0\0\1Bud1", "[no extension]", None, "macOS DS_Store"), (ASF, ".wmv", 16, "ASF/WMV"),
         (b"\x20\x03\0\0\x58\x02\0\0" + bytes(8), ".cmap", 480008, "CMAP raster"), (b"\x20\x03\0\0\x58\x02\0\0" + bytes(8), ".cmap", 480009, "UNKNOWN"), (b"\x02\0\0\0\x02\0\0\0\0\1\2\3", ".CMAP", 12, "CMAP raster"),
         (b'[Version]="1"', ".ini", None, "INI text"), (b"\xef\xbb\xbfhi", ".txt", None, "UTF-8 text"), (b"\x89PNG\r\n\x1a\n\0", ".txt", None, "PNG"), (b"\0\0\4\0", ".dat", 4, "UNKNOWN"), (b"GIF89a", None, None, "GIF"),
