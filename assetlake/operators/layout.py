@@ -46,14 +46,21 @@ def first_wins(rows: DataFrame, key: Column, ordinal: str = "ordinal") -> DataFr
     return rows.withColumn("n", n).where("n = 1").drop("n")
 
 
-def identity(entries: DataFrame, fields: list[str], by: str = "archive", ordinal: str = "ordinal") -> DataFrame:
+def identity(entries: DataFrame, fields: list[str], by: str = "archive", ordinal: str = "ordinal", block: int = 4096) -> DataFrame:
     """identity_sha256 of each archive: a digest of the chosen fields of its entries in order.
 
-    Each entry is digested where it lies, so that what meets in a group is 64 characters an entry.
+    Each entry is digested where it lies, then each block of ordinals, then the blocks of an archive, so that
+    no group holds more than ``block`` entries, or one digest a block.
     """
     line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("\\N")) for f in fields]), 256)
-    lines = F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), line.alias("d"))))
-    return entries.groupBy(by).agg(F.count("*").alias("entries"), F.sha2(F.array_join(F.transform(lines, lambda x: x.d), "\n"), 256).alias("identity_sha256"))
+
+    def folded(rows: DataFrame, *keys: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x.d), "\n")
+        return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("d"))
+
+    rows = entries.select(by, F.col(ordinal).alias("o"), F.floor(F.col(ordinal) / block).alias("block"), line.alias("d"), F.lit(1).cast("long").alias("n"))
+    blocks = folded(rows, by, "block").withColumnRenamed("block", "o")
+    return folded(blocks, by).select(by, F.col("n").alias("entries"), F.col("d").alias("identity_sha256"))
 
 
 def lineage(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str = "name", levels: int = 64) -> DataFrame:

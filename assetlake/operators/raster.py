@@ -22,11 +22,13 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def pixels(rasters: DataFrame) -> DataFrame:
-    """name, x, y, value of every pixel."""
-    text = F.hex("pixels")
-    values = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.conv(F.substr(text, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    rows = rasters.where("pixels is not null").select("name", "width", F.posexplode(values).alias("i", "value"))
-    return rows.select("name", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).alias("y"), "value")
+    """name, x, y, value of every pixel: a raster becomes lines, then lines become pixels, so that no row holds more
+    than the raster once and no array more than a line."""
+    at = lambda y: F.substring("pixels", (y * F.col("width") + 1).cast("int"), F.col("width").cast("int"))
+    lines = rasters.where("pixels is not null").select("name", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1), at)).alias("y", "line"))
+    lines = lines.select("name", F.col("y").cast("long").alias("y"), F.hex("line").alias("h"))
+    digits = F.transform(F.sequence(F.lit(0), (F.length("h") / 2 - 1).cast("int")), lambda x: F.conv(F.substring("h", (2 * x + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    return lines.select("name", "y", F.posexplode(digits).alias("x", "value")).select("name", F.col("x").cast("long").alias("x"), "y", "value")
 
 
 def histogram(cells: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

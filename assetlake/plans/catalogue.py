@@ -451,7 +451,7 @@ def first_wins_dedup(spark, sf_dir):
     return layout.first_wins(files(spark, sf_dir), F.sha2(F.lower("text"), 256)).select(F.col("ordinal").alias("doc_id"))
 
 
-@query("SELECT l_orderkey, count(*) AS entries, sha256(string_agg(sha256(l_linenumber || '|' || l_partkey || '|' || l_suppkey), chr(10) ORDER BY l_linenumber, sha256(l_linenumber || '|' || l_partkey || '|' || l_suppkey))) AS identity_sha256 FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, count(*) AS entries, sha256(sha256(string_agg(sha256(l_linenumber || '|' || l_partkey || '|' || l_suppkey), chr(10) ORDER BY l_linenumber, sha256(l_linenumber || '|' || l_partkey || '|' || l_suppkey)))) AS identity_sha256 FROM lineitem GROUP BY 1")
 def ordered_hash_identity(spark, sf_dir):
     return layout.identity(table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_partkey", "l_suppkey"], "l_orderkey", "l_linenumber")
 
