@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import bounded_batches, written
 from .words import ALNUM, Words, chunks, grams, inside, per_batch, signed
 
-#: Windows that are broadcast at most, about 100 bytes each.
-MOST_WINDOWS = 2_000_000
+#: Windows that are broadcast at most; a task's table of them takes about 500 bytes each.
+MOST_WINDOWS = 250_000
 _WINDOWS = "item_id string, n int, hash long, words binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.int64()))])
 
@@ -111,6 +111,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_windows: int =
     A null or empty text has no words and no hits; null or repeated ids keep their own
     rows; an item id of null reads as ''. An empty benchmark hits nothing.
     """
+    bounded_batches(docs.sparkSession)
     table = written(windows(benchmark, n))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if table.count() > most_windows:
@@ -174,6 +175,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "document"
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode is 'document' or 'span', not {mode!r}")
+    bounded_batches(docs.sparkSession)
     table = written(windows(benchmark, n))
     if table.count() > MOST_WINDOWS:
         if mode == "span":

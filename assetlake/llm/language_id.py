@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import bounded_batches
 from .toxicity import _STOP, remainder
 from .words import Words, chunks, mixed, per_batch
 
@@ -145,8 +146,8 @@ def fit(texts: list[str], labels: list[str], steps: int = 25, rate: float = 0.15
         m = len(w.start)
         at, a, b = trigrams(w)
         size = b - a
-        rows += [*word_features(w), at[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]]
-        owner += [*[np.arange(m) + words] * 5, np.repeat(np.arange(m), size) + words]
+        rows += [x.astype(np.int32) for x in (*word_features(w), at[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())])]
+        owner += [x.astype(np.int32) for x in (*[np.arange(m) + words] * 5, np.repeat(np.arange(m), size) + words)]
         gold.append(y[w.row + w.text_of()])
         sentence += [(words + p, words + q) for p, q in zip(chain_starts(w)[:-1], chain_starts(w)[1:], strict=True)]
         words += m
@@ -162,9 +163,12 @@ def fit(texts: list[str], labels: list[str], steps: int = 25, rate: float = 0.15
     link = np.ones(words, bool)
     link[starts[:-1]] = False
     want_move = np.bincount(gold_at[:-1][link[1:]] * n + gold_at[1:][link[1:]], minlength=n * n).reshape(n, n)
-    used, row = np.unique(row, return_inverse=True)
+    del rows, owner
+    seen = np.bincount(row, minlength=TABLE)
+    used = np.flatnonzero(seen)
+    row = (np.cumsum(seen > 0) - 1).astype(np.int32)[row]  # numbers of the rows in use
     want = np.stack([np.bincount(row, gold[own] == k, len(used)) for k in range(n)], 1)
-    seen = np.bincount(row, minlength=len(used))[:, None]
+    seen = seen[used][:, None]
     x, move = np.zeros((len(used), n)), np.zeros((n, n))
     state = [np.zeros_like(x), np.zeros_like(x), np.zeros_like(move), np.zeros_like(move)]
     for t in range(1, steps + 1):
@@ -183,13 +187,14 @@ def fit(texts: list[str], labels: list[str], steps: int = 25, rate: float = 0.15
     return Model(names, table, move)
 
 
-def train(docs: DataFrame, per_language: int = 250, languages: int = 64, **options) -> Model:
+def train(docs: DataFrame, per_language: int = 150, languages: int = 64, **options) -> Model:
     """Fits on about ``per_language`` documents of each lang, those with the least hash of their id.
 
     docs (doc_id, text, lang). Rows with a null in lang or text are not used; of more than
     ``languages`` languages the most frequent are learned. At most 2 * per_language *
     languages documents come to the driver, whole.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     u = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
@@ -242,13 +247,16 @@ def language_id(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> Da
 
 
 def identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
-    """The rows of ``docs`` that have a language: not `und`, and a score of ``least`` at least. One pass over
-    the documents, with all their columns."""
+    """The rows of ``docs`` that have a language: a letter, and a score of ``least`` at least. One pass over
+    the documents, with all their columns. Where no language can be learned a letter is enough."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(remainder(F.col("doc_id"), 3) != 1), **options)
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not known.value.names:
+            yield batch.filter(pa.array([x is not None and _A_LETTER.search(x) is not None for x in batch.column(at).to_pylist()], pa.bool_()))
+            return
         pair = pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], names=["doc_id", "text"])
         for out in _labels(pair, known.value):
             ok = [x != UNKNOWN and s >= least for x, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]

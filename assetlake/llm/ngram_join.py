@@ -37,14 +37,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import bucket_of, by_bucket, range_of, runs, unpack
 from .components import components
-from .session import written
+from .session import bounded_batches, written
 from .words import SPACED, Words, chunks, grams, inside, mixed, per_batch, signed
 
 #: Frequent shingles that are ranked last and dealt by document, at most.
 FREQUENT = 1 << 18
 #: Shingles a bucket holds, about.
 BUCKET = 600_000
+#: Bytes of text that a batch sorts at once.
+PART = 8 << 20
 #: Sets of more shingles are always large.
 MOST_SMALL = 20
 _TOKEN = np.uint64((1 << 48) - 1)
@@ -73,46 +76,34 @@ def _signs(text: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray,
     return size, total[0, stop] - total[0, stop - size], total[1, stop] - total[1, stop - size]
 
 
-def pack(x: np.ndarray) -> bytes:
-    """64-bit numbers as byte planes, compressed."""
-    return pa.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
-
-
-def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[int], list[list[bytes]]]:
-    """Columns sorted by bucket, packed for each bucket."""
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    stop = np.append(at, len(bucket))[1:]
-    return bucket[at], (stop - at).tolist(), [[pack(c[a:b]) for a, b in zip(at, stop, strict=True)] for c in columns]
-
-
 def described(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (frequent = false: id, n, s1, s2) and of shingles that are
     frequent in a batch (frequent = true: id is the shingle, n its count)."""
 
+    names = ["frequent", "id", "n", "s1", "s2"]
+
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size, s1, s2, tokens = [], [], [], []
+        tokens, rows, size = [], 0, 0
         for w in chunks(batch.column(1), SPACED, lower=True):
             text, token = sets(w, n)
-            a, b, c = _signs(text, token, len(w))
-            size.append(a), s1.append(b), s2.append(c), tokens.append(token)
-        names = ["frequent", "id", "n", "s1", "s2"]
-        rows = batch.num_rows
-        if not rows:
-            return
-        yield pa.record_batch([pa.array(np.zeros(rows, bool)), batch.column(0), pa.array(np.concatenate(size)), pa.array(signed(np.concatenate(s1))), pa.array(signed(np.concatenate(s2)))], names=names)
-        token = np.sort(np.concatenate(tokens))
-        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+            count, s1, s2 = _signs(text, token, len(w))
+            yield pa.record_batch([pa.array(np.zeros(len(w), bool)), batch.column(0).slice(w.row, len(w)), pa.array(count), pa.array(signed(s1)), pa.array(signed(s2))], names=names)
+            tokens.append(token)
+            rows, size = rows + len(w), size + len(w.buf)
+            if size > PART:
+                yield from often(tokens, rows)
+                tokens, rows, size = [], 0, 0
+        yield from often(tokens, rows)
+
+    def often(tokens: list[np.ndarray], rows: int) -> Iterator[pa.RecordBatch]:
+        """Shingles of a 64th of the documents, 32 at least."""
+        token = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+        at = runs(token)
         count = np.diff(np.append(at, len(token)))
-        often = count >= max(32, rows // 64)
-        m = int(often.sum())
-        if m:
-            zero = pa.array(np.zeros(m, np.int64))
-            yield pa.record_batch([pa.array(np.ones(m, bool)), pa.array(signed(token[at[often]])), pa.array(count[often]), zero, zero], names=names)
+        many = count >= max(32, rows // 64)
+        if many.any():
+            zero = pa.array(np.zeros(int(many.sum()), np.int64))
+            yield pa.record_batch([pa.array(np.ones(len(zero), bool)), pa.array(signed(token[at[many]])), pa.array(count[many]), zero, zero], names=names)
 
     return docs.mapInArrow(per_batch(describe), "frequent boolean, id long, n long, s1 long, s2 long")
 
@@ -123,34 +114,40 @@ def _dealt(docs: DataFrame, n: int, buckets: int, frequent: np.ndarray) -> DataF
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = np.asarray(batch.column(0))
-        tokens, owners, seen = [], [], {}
+        have, size = [], 0
         for w in chunks(batch.column(1), SPACED, lower=True):
             text, token = sets(w, n)
-            size, s1, s2 = _signs(text, token, len(w))
-            for k, sign in enumerate(zip(size.tolist(), s1.tolist(), s2.tolist(), strict=True)):
-                seen.setdefault(sign, []).append(w.row + k)
-            tokens.append(token), owners.append(w.row + text)
-        if not tokens:
-            return
-        own = np.zeros(batch.num_rows, bool)
+            have.append((w.row, len(w), text, token))
+            size += len(w.buf)
+            if size > PART:
+                yield from send(ids, have)
+                have, size = [], 0
+        yield from send(ids, have)
+
+    def send(ids: np.ndarray, have: list) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list[int]] = {}
+        for row, rows, text, token in have:
+            for k, sign in enumerate(zip(*(x.tolist() for x in _signs(text, token, rows)), strict=True)):
+                seen.setdefault(sign, []).append(row + k)
+        own = np.zeros(len(ids), bool)
         own[[min(rows, key=lambda r: ids[r]) for rows in seen.values()]] = True
-        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        if not sum(len(token) for *_, token in have):
+            return
+        token, owner = np.concatenate([token for *_, token in have]), np.concatenate([row + text for row, _, text, _ in have])
         token, owner = token[own[owner]], ids[owner[own[owner]]].view(np.uint64)
-        bucket = ((token * np.uint64(buckets)) >> np.uint64(48)).astype(np.int64) if buckets < 1 << 16 else (token % np.uint64(buckets)).astype(np.int64)
+        bucket = range_of(token, buckets)
         hot = known.value
         if len(hot):
-            k = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
-            often = hot[k] == token
+            often = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
             bucket[often] = buckets + (mixed(token[often] ^ mixed(owner[often])) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((token, bucket)) if len(hot) or buckets >= 1 << 16 else np.argsort(token)
+        order = np.lexsort((token, bucket)) if len(hot) else np.argsort(token)
         bucket, token, owner = bucket[order], token[order], owner[order]
         # within a bucket shingles ascend: their differences are short
         step = np.concatenate([token[:1], token[1:] - token[:-1]])
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        first = runs(bucket)
         step[first] = token[first]
-        key, count, (a, b) = _blobs(bucket, step, owner)
-        if count:
-            yield pa.record_batch([pa.array(key), pa.array(count, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "n", "tokens", "docs"])
+        key, count, (a, b) = by_bucket(bucket, step, owner)
+        yield pa.record_batch([pa.array(key), pa.array(count, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "n", "tokens", "docs"])
 
     return docs.mapInArrow(per_batch(deal), "bucket long, n long, tokens binary, docs binary")
 
@@ -167,14 +164,14 @@ def _ranked(dealt: DataFrame, buckets: int) -> DataFrame:
         else:
             order = np.argsort(token)
             token, doc = token[order], doc[order]
-            at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            at = runs(token)
             run = np.diff(np.append(at, len(token)))
             count = np.repeat(np.minimum(run, _LAST - 1).astype(np.uint64), run)
             token, doc, count = token[count > 1], doc[count > 1], count[count > 1]
         rank = (count << np.uint64(48)) | token
-        to = (mixed(doc) % np.uint64(buckets)).astype(np.int64)
+        to = bucket_of(doc, buckets)
         order = np.lexsort((doc, to))
-        key_, n, (a, b) = _blobs(to[order], rank[order], doc[order])
+        key_, n, (a, b) = by_bucket(to[order], rank[order], doc[order])
         return pa.table([pa.array(key_), pa.array(n, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["to", "n", "ranks", "docs"])
 
     return dealt.groupBy("bucket").applyInArrow(rank, "to long, n long, ranks binary, docs binary")
@@ -184,7 +181,7 @@ def _survivors(ranked: DataFrame, classes: DataFrame, buckets: int, num: int, de
     """(doc, n, shared): documents of which num/den at least is shared, with their ranks ascending."""
 
     def where(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        to = (mixed(np.asarray(batch.column(0)).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        to = bucket_of(np.asarray(batch.column(0)), buckets)
         yield pa.record_batch([pa.array(to), batch.column(0), batch.column(1)], names=["to", "doc", "n"])
 
     def gather(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -198,7 +195,7 @@ def _survivors(ranked: DataFrame, classes: DataFrame, buckets: int, num: int, de
             doc = np.concatenate([unpack(d, n) for n, _, d in parts]).view(np.int64)
             order = np.lexsort((rank, doc))
             rank, doc = rank[order], doc[order]
-            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1])])
+            new = runs(rank, doc)
             rank, doc = rank[new], doc[new]
             for i, s in zip(ids.tolist(), size.tolist(), strict=True):
                 a, b = np.searchsorted(doc, i), np.searchsorted(doc, i, "right")
@@ -261,6 +258,7 @@ def _verified(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFra
 
 def linked(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """(documents, components of class representatives) for documents (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     seen = written(described(own, n))
     sized = seen.where("not frequent").drop("frequent")

@@ -9,9 +9,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most, so that tasks hold a few megabytes of texts at once.
+BATCH = 2000
 _own: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH``, unless they are fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, by_bucket, range_of, runs, unpack
+from .session import bounded_batches
 from .words import SPACED, Words, chunks, grams, inside, mixed, per_batch
 
 #: Bytes of text whose seeds a bucket holds, about, and a batch combines.
@@ -261,6 +262,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", t
     """
     if length < 4:
         raise ValueError("a window has four words at least")
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(32, -(-size // BUCKET))

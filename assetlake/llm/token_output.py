@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import bounded_batches, written
 from .words import Words, _power, chunks, mixed, per_batch
 
 #: Where the vocabulary files lie unless a path is given.
@@ -37,7 +37,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: doc_id, number of the sequence in its document, tokens that are no padding.
 HEADER = np.dtype([("doc_id", "<i8"), ("chunk", "<u4"), ("n", "<u4")])
-_CACHED = 400_000
+#: Pieces whose tokens a task remembers.
+_CACHED = 150_000
 _ANY = np.ones(256, bool)
 _SEQUENCES = "task long, place long, doc_id long, chunk long, n long, tokens binary"
 _SHARDS = "shard long, first_slot long, n_sequences long, stride long, data binary"
@@ -57,7 +58,7 @@ class Tokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = max(ranks.values()) + 1
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[int, bytes] = {}
 
     def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts of a chunk, index of each text's first token and the end)."""
@@ -84,10 +85,10 @@ class Tokenizer:
         for x, k in zip(distinct.tolist(), first.tolist(), strict=True):
             got = self.known.get(x)
             if got is None:
-                got = self.known[x] = self.encode(buf[at[k] : stop[k]].tobytes().decode())
+                got = self.known[x] = np.array(self.encode(buf[at[k] : stop[k]].tobytes().decode()), "<u2").tobytes()
             ids.append(got)
-        size = np.array([len(x) for x in ids])
-        flat = np.fromiter((t for x in ids for t in x), np.int32, int(size.sum()))
+        size = np.array([len(x) for x in ids]) // 2
+        flat = np.frombuffer(b"".join(ids), "<u2")
         begin = np.cumsum(size) - size
         n = size[which]
         upto = np.cumsum(n)
@@ -138,6 +139,8 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
                 data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), many, [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
                 yield pa.record_batch([pa.array(np.full(many, task)), pa.array(np.arange(place, place + many)), pa.array(ids[w.row + owner]), pa.array(chunk), pa.array(used), data], names=["task", "place", "doc_id", "chunk", "n", "tokens"])
                 place += many
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(cut, _SEQUENCES)
 
@@ -150,6 +153,7 @@ def materialised(docs: DataFrame, length: int = 512, per_shard: int = 2048, key:
     """
     if not os.path.exists(vocabulary):
         raise FileNotFoundError(f"no vocabulary at {vocabulary}; name one with the parameter")
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     rows = written(sequences(own, length, vocabulary))
     counts = written(rows.groupBy("task").agg(F.count("*").alias("n")))  # one row a task

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import runs
-from .session import written
+from .session import bounded_batches, written
 from .words import ALNUM, Words, chunks, mixed, per_batch, signed
 
 BEGINNINGS = (3, 4, 5, 6)
@@ -133,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most: int =
     counts; null ids or labels count for nothing. Kept are features of ``least`` toxic documents at least
     whose log odds lie ``sure`` standard errors above 0, ``most`` at most.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))

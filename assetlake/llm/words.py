@@ -113,12 +113,16 @@ def chunks(column: pa.Array, table: np.ndarray, lower: bool, limit: int = CHUNK)
     """Chunks of the texts of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not pa.types.is_large_string(column.type) and not pa.types.is_string(column.type):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
     _, offs, data = column.buffers()
-    offs = np.frombuffer(offs, np.int64)[column.offset : column.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offs = np.frombuffer(offs, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
@@ -135,6 +139,8 @@ def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from f(batch)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return run
 
