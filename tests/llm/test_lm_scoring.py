@@ -64,3 +64,13 @@ def test_large_targets_join_and_empty_table(spark):
     rows = sorted(map(tuple, flagged(df, ids, most=0).collect()), key=repr)
     assert rows == sorted(map(tuple, flagged(df, ids).collect()), key=repr) and sum(r[1] for r in rows) == 2
     assert cross_entropy_difference(df.limit(0), ids).count() == 0
+
+
+def test_rare_words_are_known_and_batches_do_not_matter(spark):
+    docs = [*DOCS, (9, "the " * 300_000), (10, "only once a zebra here"), (None, "zebra sat here"), (11, " ".join(f"w{i}" for i in range(3000)))]
+    df, ids = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10,), (8,)], "doc_id long")
+    want = sorted(brute(docs[:-2] + [(-1, docs[-2][1]), docs[-1]], {8, 10}, 10**9, 10**9))
+    for options in ({}, {"sums": 5, "bucket": 20_000}):
+        got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in map(tuple, cross_entropy_difference(df.repartition(2), ids, **options).collect()))
+        for a, b in zip(got, want, strict=True):
+            assert a == pytest.approx(b, abs=1e-9)
