@@ -208,20 +208,23 @@ def labelled(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     labels differ. Null texts and texts without a letter are `und` with score 0."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(per_batch(lambda batch: _labels(batch, known.value)), "doc_id long, lang_pred string, score double, switches long")
+    return own.mapInArrow(per_batch(lambda batch: (x.select([0, 1, 2, 3]) for x in _labels(batch, known.value))), "doc_id long, lang_pred string, score double, switches long")
 
 
 def _labels(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
+    """Also sure: the mean over words of each word's own largest marginal, whichever languages these are."""
     texts = batch.column(1)
     n = len(model.names)
     for w in chunks(texts, LETTERS, lower=True):
         letter = np.array([bool(x) and _A_LETTER.search(x) is not None for x in texts.slice(w.row, len(w)).to_pylist()], bool)
-        share, switches = np.zeros((len(w), max(1, n))), np.zeros(len(w), np.int64)
+        share, switches, sure = np.zeros((len(w), max(1, n))), np.zeros(len(w), np.int64), np.zeros(len(w))
         if n and len(w.start):
             starts = chain_starts(w)
             m, _, _ = forward_backward(emissions(w, model.table), starts, model.move.astype(np.float32))
             total = np.concatenate([np.zeros((1, n)), np.cumsum(m, 0, dtype=np.float64)])
             share = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(w.counts, 1)[:, None]
+            peak = np.concatenate([[0], np.cumsum(m.max(1), dtype=np.float64)])
+            sure = (peak[w.first[1:]] - peak[w.first[:-1]]) / np.maximum(w.counts, 1)
             best = m.argmax(1)
             turn = np.concatenate([[False], best[1:] != best[:-1]])
             turn[starts[:-1]] = False
@@ -231,7 +234,7 @@ def _labels(batch: pa.RecordBatch, model: Model) -> Iterator[pa.RecordBatch]:
         top = share.argmax(1)
         names = [model.names[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), said.tolist(), strict=True)]
         score = np.where(said, np.clip(share[np.arange(len(w)), top], 0, 1), 0.0)
-        yield pa.record_batch([batch.column(0).slice(w.row, len(w)), pa.array(names, pa.string()), pa.array(score), pa.array(switches)], names=["doc_id", "lang_pred", "score", "switches"])
+        yield pa.record_batch([batch.column(0).slice(w.row, len(w)), pa.array(names, pa.string()), pa.array(score), pa.array(switches), pa.array(np.where(said, sure, 0.0))], names=["doc_id", "lang_pred", "score", "switches", "sure"])
 
 
 def language_id(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> DataFrame:
@@ -247,8 +250,8 @@ def language_id(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> Da
 
 
 def identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
-    """The rows of ``docs`` that have a language: a letter, and a score of ``least`` at least. One pass over
-    the documents, with all their columns. Where no language can be learned a letter is enough."""
+    """The rows of ``docs`` that have a language: a letter, and words that are labelled with a
+    mean certainty of ``least`` at least, so that text in several languages stays. One pass over the documents, with all their columns. Where no language can be learned a letter is enough."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(remainder(F.col("doc_id"), 3) != 1), **options)
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -259,7 +262,7 @@ def identified(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
             return
         pair = pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int64)), batch.column(at)], names=["doc_id", "text"])
         for out in _labels(pair, known.value):
-            ok = [x != UNKNOWN and s >= least for x, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
+            ok = [x != UNKNOWN and s >= least for x, s in zip(out.column(1).to_pylist(), out.column(4).to_pylist(), strict=True)]
             yield batch.slice(0, len(ok)).filter(pa.array(ok))
             batch = batch.slice(len(ok))
 

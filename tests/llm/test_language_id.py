@@ -55,3 +55,11 @@ def test_rejection_keeps_all_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
     out = identified(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == set(range(60))
+
+
+def test_clean_text_in_several_languages_stays(spark):
+    said = {"fr": "le chat et la maison dans une rue avec des amis", "de": "der Hund und die Katze auf dem Weg nach Hause", "es": "el perro y los gatos por las calles con muchos hijos", "fi": "koira ja kissa ovat talossa joka on metsän reunalla nyt"}
+    rows = [(i, said[x], x) for i, x in enumerate([*said] * 30)]
+    mixed = [(1000 + k, ". ".join([*said.values()][:k]), None) for k in (2, 3, 4)]
+    df = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in identified(df).collect()} == {r[0] for r in rows + mixed}
