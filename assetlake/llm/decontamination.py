@@ -14,11 +14,11 @@ themselves. A larger benchmark is joined by a shuffle on the window instead.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import bounded_batches, written
@@ -115,7 +115,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, most_windows: int =
     table = written(windows(benchmark, n))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if table.count() > most_windows:
-        return _scan_by_join(own, table, n)
+        return _scan_by_join(own, table)
     known = own.sparkSession.sparkContext.broadcast(table.toArrow())
     cache: list[_Table] = []
 
@@ -134,12 +134,15 @@ def _spark(schema: pa.Schema) -> str:
     return from_arrow_schema(schema)
 
 
-def _scan_by_join(own: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """The same rows when the windows are too many to broadcast: documents' windows meet
-    the benchmark's in a shuffle join on hash; pre-aggregated, a hit is (text, place, length).
-    Texts are named by id and a hash of themselves, so that repeated ids stay apart."""
+def _key() -> Column:
+    """Names a text by id and a hash of itself, so that repeated ids stay apart and null ids meet."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _hits_by_join(named: DataFrame, table: DataFrame) -> DataFrame:
+    """(key, hits, items) of the texts (key, text) that are hit, when the windows are too many to broadcast: documents'
+    windows meet the benchmark's in a shuffle join on hash; pre-aggregated, a hit is (text, place, length)."""
     lengths = [r.n for r in table.select("n").distinct().collect()]  # n values at most
-    named = own.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256)))
 
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for w in chunks(batch.column(1), ALNUM, lower=True):
@@ -153,14 +156,24 @@ def _scan_by_join(own: DataFrame, table: DataFrame, n: int) -> DataFrame:
                     )
 
     places = named.select("key", "text").mapInArrow(per_batch(make), "key string, place long, n int, hash long, words binary")
-    hits = places.join(table, ["n", "hash", "words"]).groupBy("key").agg(F.collect_set(F.struct("place", "n")).alias("hits"), F.collect_set("item_id").alias("items"))
+    return places.join(table, ["n", "hash", "words"]).groupBy("key").agg(F.collect_set(F.struct("place", "n")).alias("hits"), F.collect_set("item_id").alias("items"))
+
+
+def _placed(w: Words, hit: list, item: list) -> Iterator[tuple[int, int, list[str]]]:
+    """As ``_Table.hits``, from the hits and items of the rows of a batch."""
+    return ((int(w.first[k]) + x["place"], x["n"], item[w.row + k]) for k in range(len(w)) for x in hit[w.row + k] or ())
+
+
+def _scan_by_join(own: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows of ``scan`` by a shuffle join."""
+    named = own.withColumn("key", _key())
 
     def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hit, item = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for w in chunks(batch.column(1), ALNUM, lower=True):
-            yield _found(batch.column(0), w, ((int(w.first[k]) + x["place"], x["n"], item[w.row + k]) for k in range(len(w)) for x in hit[w.row + k] or ()))
+            yield _found(batch.column(0), w, _placed(w, hit, item))
 
-    return named.join(hits, "key", "left").select("doc_id", "text", "hits", "items").mapInArrow(per_batch(place), _spark(_FOUND))
+    return named.join(_hits_by_join(named, table), "key", "left").select("doc_id", "text", "hits", "items").mapInArrow(per_batch(place), _spark(_FOUND))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -168,42 +181,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return scan(docs, benchmark, **options).drop("spans")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = 10) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = 10, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents, or (mode 'span') without the hit words.
 
-    One pass over the documents; all columns stay.
+    All columns stay. Each row is judged by its own text, whatever its id. One pass over the documents, or for
+    more than ``most_windows`` windows a shuffle join with the same rows.
     """
     if mode not in ("document", "span"):
         raise ValueError(f"mode is 'document' or 'span', not {mode!r}")
     bounded_batches(docs.sparkSession)
     table = written(windows(benchmark, n))
-    if table.count() > MOST_WINDOWS:
-        if mode == "span":
-            raise ValueError("spans of so many windows come from scan(), joined by id")
-        hit = scan(docs, benchmark, n).where("contaminated").select("doc_id")
-        return docs.join(hit, "doc_id", "left_anti")
+    at = docs.columns.index("text")
+    if table.count() > most_windows:
+        named = docs.select(F.struct("*").alias("row"), _key().alias("key"), "text")
+        joined = named.select("row", "key").join(_hits_by_join(named, table), "key", "left").select("row", "hits", "items")
+
+        def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            hit, item = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield from _cleaned(pa.RecordBatch.from_struct_array(batch.column(0)), at, mode, lambda w: _placed(w, hit, item))
+
+        return joined.mapInArrow(per_batch(cut), docs.schema)
     known = docs.sparkSession.sparkContext.broadcast(table.toArrow())
-    names = docs.columns
-    at = names.index("text")
     cache: list[_Table] = []
 
     def clean(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not cache:
             cache.append(_Table(known.value))
-        blank = pa.array(np.zeros(batch.num_rows, np.int64))
-        found = [_found(blank, w, cache[0].hits(w)) for w in chunks(batch.column(at), ALNUM, lower=True)]
-        if not found:
-            return
-        report = pa.Table.from_batches(found)
-        if mode == "document":
-            yield batch.filter(pa.compute.invert(report["contaminated"].combine_chunks()))
-            return
-        texts = batch.column(at).to_pylist()
-        for k, spans in enumerate(report["spans"].to_pylist()):
-            if spans:
-                raw = texts[k].encode()
-                keep = [0, *spans, len(raw)]
-                texts[k] = b"".join(raw[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)).decode()
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        yield from _cleaned(batch, at, mode, cache[0].hits)
 
     return docs.mapInArrow(per_batch(clean), docs.schema)
+
+
+def _cleaned(batch: pa.RecordBatch, at: int, mode: str, hits: Callable[[Words], Iterator[tuple[int, int, list[str]]]]) -> Iterator[pa.RecordBatch]:
+    blank = pa.array(np.zeros(batch.num_rows, np.int64))
+    found = [_found(blank, w, hits(w)) for w in chunks(batch.column(at), ALNUM, lower=True)]
+    if not found:
+        return
+    report = pa.Table.from_batches(found)
+    if mode == "document":
+        yield batch.filter(pa.compute.invert(report["contaminated"].combine_chunks()))
+        return
+    texts = batch.column(at).to_pylist()
+    for k, spans in enumerate(report["spans"].to_pylist()):
+        if spans:
+            raw = texts[k].encode()
+            keep = [0, *spans, len(raw)]
+            texts[k] = b"".join(raw[a:b] for a, b in zip(keep[::2], keep[1::2], strict=True)).decode()
+    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

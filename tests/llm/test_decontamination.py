@@ -67,3 +67,17 @@ def test_removal(spark):
     assert {r.doc_id for r in decontaminated(docs, items).collect()} == {3, 4, 5, 6, 7}
     spans = {r.text for r in decontaminated(docs, items, mode="span").where("doc_id = 1 or doc_id = 2").collect()}
     assert spans == {"x  y", "a  and ; tiny"}
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_removal_judges_rows_with_null_and_repeated_ids(spark, most):
+    rows = [*DOCS, (None, "clean text"), (2, "another text of the same id"), (None, "tiny item")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "1 as key", "text", "2 as hits")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    report = brute([(k, t) for k, (_, t) in enumerate(rows)], ITEMS)
+    want = [rows[r[0]] for r in report if not r[5]]
+    out = decontaminated(docs, items, most_windows=most)
+    assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    spans = decontaminated(docs, items, mode="span", most_windows=most).collect()
+    cut = {(1, "x  y"), (2, "a  and ; tiny"), (None, ""), (None, "clean text"), (2, "another text of the same id")}
+    assert len(spans) == len(rows) and {(r.doc_id, r.text) for r in spans if r.doc_id in (None, 1, 2)} == cut
