@@ -8,7 +8,7 @@ Marginals come from forward-backward over each sentence. A document's language h
 the largest sum of marginals over its words; its score is their mean.
 
 The field is fitted on the driver by gradient steps on its conditional likelihood,
-on a bounded sample of ``per_language`` documents of each language on average. Words
+on a bounded sample of ``per_language`` documents of each language on average (fewer where languages are many). Words
 take their document's language as label; sentences of different languages are chained, so
 that transitions learn to switch. Fitted weights are hashed into a table of fixed size and
 broadcast; labelling is one pass over whole texts without a shuffle.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import bounded_batches
@@ -190,16 +190,19 @@ def fit(texts: list[str], labels: list[str], steps: int = 25, rate: float = 0.15
 def train(docs: DataFrame, per_language: int = 150, languages: int = 64, **options) -> Model:
     """Fits on about ``per_language`` documents of each lang, those with the least hash of their id.
 
-    docs (doc_id, text, lang). Rows with a null in lang or text are not used; of more than
-    ``languages`` languages the most frequent are learned. At most 2 * per_language *
-    languages documents come to the driver, whole.
+    docs (doc_id, text, lang). Rows with a null in lang or text are not used; every other lang is learned. Beyond
+    ``languages`` of them, documents of each become fewer with the square of their number, one at least, since the
+    fit holds words times languages. At most twice that many of each (2 * per_language * languages in all, or
+    2 of each if these are more) come to the driver, whole. Weights take 256 kB a language.
     """
     bounded_batches(docs.sparkSession)
-    own = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    top = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     u = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    chosen = own.join(F.broadcast(top), "lang").where(u * F.col("n") < per_language).select("lang", "doc_id", "text", u.alias("u"))
-    got = chosen.orderBy("u", "doc_id", "lang").limit(2 * per_language * languages).select("lang", "text").toArrow()
+    own = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", u.alias("u"))
+    each = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("first"))
+    each = each.withColumn("most", F.greatest(F.lit(1.0), F.lit(float(per_language)) * F.least(F.lit(1.0), F.pow(F.lit(float(languages)) / F.count("*").over(Window.partitionBy()), 2))))
+    chosen = own.join(F.broadcast(each), "lang").where("u * n < most or u = first")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.xxhash64("text")))
+    got = chosen.withColumn("place", place).where("place <= 2 * most").orderBy("u", "doc_id", "lang").select("lang", "text").toArrow()
     return fit(got["text"].to_pylist(), got["lang"].to_pylist(), **options)
 
 

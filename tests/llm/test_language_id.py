@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from assetlake.llm.language_id import fit, forward_backward, identified, labelled, language_id
+from assetlake.llm.language_id import fit, forward_backward, identified, labelled, language_id, train
 
 
 def test_forward_backward_matches_enumeration():
@@ -63,3 +63,15 @@ def test_clean_text_in_several_languages_stays(spark):
     mixed = [(1000 + k, ". ".join([*said.values()][:k]), None) for k in (2, 3, 4)]
     df = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
     assert {r.doc_id for r in identified(df).collect()} == {r[0] for r in rows + mixed}
+
+
+def test_every_language_is_learned(spark):
+    def text(k):
+        return " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ona", "eti", "uro", "isk", "alm")) + " "
+
+    rows = [(100 * k + i, text(k) * 3, f"l{k:02}") for k in range(70) for i in range(12 if k < 64 else 6)] + [(None, text(0), "l00")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang = {r[0]: r[2] for r in rows}
+    got = [r for r in language_id(df).collect() if r.held_out and r.doc_id is not None]
+    assert {lang[r.doc_id] for r in got if int(lang[r.doc_id][1:]) >= 64} and all(r.lang_pred == lang[r.doc_id] for r in got)
+    assert len(train(df, per_language=2, languages=4, steps=1).names) == 70
