@@ -63,14 +63,25 @@ def identity(entries: DataFrame, fields: list[str], by: str = "archive", ordinal
     return folded(blocks, by).select(by, F.col("n").alias("entries"), F.col("d").alias("identity_sha256"))
 
 
-def lineage(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str = "name", levels: int = 64) -> DataFrame:
-    """id, depth, path of every node of a forest: one join per level, as long as there are nodes below."""
+def lineage(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str = "name") -> DataFrame:
+    """id, depth, path of every node of a forest: one join per level, as long as there are nodes below.
+
+    Nodes that no root reaches have no row; ``unreached`` names them. An id that is its own ancestor below a root raises.
+    """
     level = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("id"), F.lit(0).alias("depth"), F.col(name).alias("path"))
     out, below = level, nodes.where(F.col(parent).isNotNull())
-    for depth in range(1, levels + 1):
+    most, depth = nodes.count(), 0
+    while True:
+        depth += 1
         up = level.select(F.col("id").alias(parent), F.col("path").alias("above"))
-        level = below.join(up, parent).select(F.col(key).alias("id"), F.lit(depth).alias("depth"), F.concat_ws("/", "above", name).alias("path"))
+        level = below.join(up, parent).select(F.col(key).alias("id"), F.lit(depth).alias("depth"), F.concat_ws("/", "above", name).alias("path")).localCheckpoint()
         if level.isEmpty():
-            break
+            return out
+        if depth > most:
+            raise ValueError("an id is its own ancestor")
         out = out.unionByName(level)
-    return out
+
+
+def unreached(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str = "name") -> DataFrame:
+    """The nodes that no root reaches: those below a missing parent, or in or below a cycle."""
+    return nodes.join(lineage(nodes, key, parent, name).select(F.col("id").alias(key)), key, "left_anti").select(nodes.columns)

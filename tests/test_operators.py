@@ -138,3 +138,10 @@ def test_find_bytes(spark):
     df = spark.createDataFrame(rows, "path string, content binary")
     got = {r.path: (r.key, r.place) for r in probing.find_bytes(df, [("first", key), ("second", other)]).collect()}
     assert got == {"a.exe": ("first", 130), "c.exe": ("first", 3)}
+
+
+def test_lineage_has_no_last_level(spark):
+    rows = [(0, None, "n0"), *((i, i - 1, f"n{i}") for i in range(1, 70)), (100, 101, "a"), (101, 100, "b"), (102, 999, "c")]
+    nodes = spark.createDataFrame(rows, "id long, parent long, name string").coalesce(1)
+    assert {r.id: r.depth for r in layout.lineage(nodes).collect()} == {i: i for i in range(70)}
+    assert {r.id for r in layout.unreached(nodes.where("id < 2 or id >= 100")).collect()} == {100, 101, 102}
