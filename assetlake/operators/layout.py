@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cuts import written
+
 
 def _order(by: str, ordinal: str):
     return Window.partitionBy(by).orderBy(ordinal)
@@ -64,7 +66,8 @@ def identity(entries: DataFrame, fields: list[str], by: str = "archive", ordinal
 
 
 def lineage(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str = "name") -> DataFrame:
-    """id, depth, path of every node of a forest: one join per level, as long as there are nodes below.
+    """id, depth, path of every node of a forest: one join per level, as long as there are nodes below. Each level
+    is written to the shared folder, so that none is computed twice.
 
     Nodes that no root reaches have no row; ``unreached`` names them. An id that is its own ancestor below a root raises.
     """
@@ -74,7 +77,7 @@ def lineage(nodes: DataFrame, key: str = "id", parent: str = "parent", name: str
     while True:
         depth += 1
         up = level.select(F.col("id").alias(parent), F.col("path").alias("above"))
-        level = below.join(up, parent).select(F.col(key).alias("id"), F.lit(depth).alias("depth"), F.concat_ws("/", "above", name).alias("path")).localCheckpoint()
+        level = written(below.join(up, parent).select(F.col(key).alias("id"), F.lit(depth).alias("depth"), F.concat_ws("/", "above", name).alias("path")))
         if level.isEmpty():
             return out
         if depth > most:
