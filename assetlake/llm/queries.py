@@ -33,7 +33,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_format(table(spark, sf_dir, "conversations").select(own.columns).unionByName(own))
+    return chat_format(table(spark, sf_dir, "conversations").select(own.columns).unionByName(own), streamed=True)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

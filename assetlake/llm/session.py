@@ -1,17 +1,15 @@
-"""Lineage cuts that survive the loss of executors."""
+"""What the operators need of a session: lineage cuts, and batches of a bounded size."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.cuts import discard, shared_dir, written
+
+__all__ = ["BATCH", "bounded_batches", "discard", "shared_dir", "written"]
 
 #: Rows of an Arrow batch at most, so that tasks hold a few megabytes of texts at once.
 BATCH = 2000
-_own: dict[str, str] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -19,26 +17,3 @@ def bounded_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH:
         spark.conf.set(key, str(BATCH))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder is made, and
-    removed when Python ends.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="assetlake-")
-        atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
-    return f"file://{_own['dir']}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
