@@ -161,20 +161,31 @@ r AS (SELECT CAST(free AS DOUBLE) / open AS rate FROM c WHERE NOT capped ORDER B
 t AS (
   SELECT key, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE weight * rate END AS target
   FROM c LEFT JOIN r ON true),
-p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS times FROM t),
+x AS (SELECT key, CAST(length(bin(size)) AS BIGINT) AS class, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY 1, 2),
+y AS (
+  SELECT key, class, words, source_size, target,
+         target - coalesce(CAST(sum(words) OVER down AS BIGINT), 0) * 3 AS free,
+         sum(CAST(class AS DOUBLE) * words) OVER (PARTITION BY key) - coalesce(sum(CAST(class AS DOUBLE) * words) OVER down, 0) AS open
+  FROM x JOIN t USING (key) WINDOW down AS (PARTITION BY key ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, CASE WHEN open > 0 THEN free / open END AS rate, coalesce(class * CASE WHEN open > 0 THEN free / open END >= 3, false) AS full_ FROM y),
+o AS (SELECT *, max_by(rate, class) FILTER (WHERE NOT full_) OVER (PARTITION BY key) AS level FROM v),
+p AS (SELECT *, CASE WHEN full_ THEN 3.0::DOUBLE ELSE coalesce(class * level, 0) END AS times FROM o),
 q AS (
-  SELECT key, source_size, target, floor(times) AS whole, times - floor(times) AS part,
-         target - floor(times) * source_size AS need FROM p),
+  SELECT key, class, source_size, target, floor(times) AS whole, times - floor(times) AS part,
+         target - sum(floor(times) * words) OVER (PARTITION BY key) AS need FROM p),
 u AS (
-  SELECT doc_id, key, size, source_size, target, whole, part, need,
+  SELECT doc_id, sized.key AS key, size, source_size, target, whole, part, need,
          (CAST(('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized JOIN q USING (key)),
+  FROM sized JOIN q ON q.key = sized.key AND q.class = length(bin(size))),
 k AS (
   SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank FROM u),
 w AS (SELECT *, sum(size) OVER (PARTITION BY key ORDER BY rank, doc_id) AS upto FROM k),
-d AS (SELECT *, part > 0 AND upto <= need AS drawn FROM w),
-g AS (SELECT *, need - coalesce(sum(size) FILTER (WHERE drawn) OVER (PARTITION BY key), 0) AS gap FROM d),
+a AS (SELECT *, part > 0 AND upto <= need AS first_ FROM w),
+b AS (SELECT *, need - coalesce(sum(size) FILTER (WHERE first_) OVER (PARTITION BY key), 0) AS gap1 FROM a),
+e AS (SELECT *, part > 0 AND NOT first_ AND size <= gap1 AS fits FROM b),
+h AS (SELECT *, sum(size) FILTER (WHERE fits) OVER (PARTITION BY key ORDER BY rank, doc_id) AS upto2 FROM e),
+d AS (SELECT *, first_ OR (fits AND upto2 <= gap1) AS drawn FROM h),
+g AS (SELECT *, gap1 - coalesce(sum(size) FILTER (WHERE drawn AND NOT first_) OVER (PARTITION BY key), 0) AS gap FROM d),
 z AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY
     CASE WHEN part > 0 AND NOT drawn AND abs(gap - size) < gap THEN 0 ELSE 1 END, abs(gap - size), rank, doc_id) AS n

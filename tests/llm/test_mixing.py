@@ -74,3 +74,21 @@ def test_empty_and_wordless_tables(spark):
     assert mix(df.limit(0)).count() == 0
     rows = mix(df.where("source = 'empty'")).collect()
     assert rows and all(r.taken == 0 and r.target == 0 for r in rows)
+
+
+def test_inclusion_frequencies(spark):
+    """Of 600 documents of each size those are drawn as often as their own inclusion odds say."""
+    sizes = [1, 2, 3, 5, 9, 17, 17, 30, 33, 40, 60, 70, 100, 120, 130, 200, 250, 260, 300, 500, 520, 700]
+    docs = [(k * 1000 + i, f"s{k // 30}", " ".join(["w"] * n)) for k in range(600) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mix(df, weights=(1,)).collect()
+    assert len(rows) == len(docs) and all(r.target == 30 * sum(sizes) for r in rows)
+    times = dict.fromkeys(range(len(sizes)), 0)
+    for r in rows:
+        times[r.doc_id % 1000] += r.taken / r.size
+    rate = sum(sizes) / sum(n * n.bit_length() for n in sizes)
+    for i, n in enumerate(sizes):
+        assert times[i] / 600 == pytest.approx(min(3, rate * n.bit_length()), abs=0.07)
+    assert times[len(sizes) - 1] > 1.2 * times[8]
+    flat = mix(df.where("source < 's2'"), weights=(1,), tilt=0.0).collect()
+    assert all(r.taken == r.size for r in flat)
