@@ -34,7 +34,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> list[np.ndarray]:
-    """Powers of R and of its inverse mod 2**64, n of them at least."""
+    """Powers of R and of its inverse mod 2**64, n of them at least, of which ``spans`` needs CHUNK at most."""
     while len(_powers[0]) < n:
         m = len(_powers[0])
         for k, base in enumerate((_R, _RINV)):
@@ -49,6 +49,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = CHUNK) -> np.ndarray:
+    """Hashes of spans of bytes, which ascend and do not overlap: polynomials over their bytes.
+
+    The sums run over a block of bytes at a time, so that a text of any length needs no more than its spans.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = int(np.searchsorted(end, base + block, "right"))
+        if j <= i:  # one span that is longer than a block
+            out[i], j = _long(buf[base : end[i]], block), i + 1
+        else:
+            part = buf[base : end[j - 1]]
+            up, down = (p[: len(part)] for p in _power(len(part)))
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * up, out=total[1:])
+            a = start[i:j] - base
+            out[i:j] = (total[end[i:j] - base] - total[a]) * down[np.minimum(a, len(part) - 1)]
+        i = j
+    return mixed(out)
+
+
+def _long(part: np.ndarray, block: int) -> int:
+    total = 0
+    for k in range(0, len(part), block):
+        piece = part[k : k + block]
+        total += int((_BYTE[piece] * _power(len(piece))[0][: len(piece)]).sum(dtype=np.uint64)) * pow(_R, k, 1 << 64)
+    return total & ((1 << 64) - 1)
+
+
 class Words:
     """The words of one chunk of texts.
 
@@ -76,10 +107,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        p = _power(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * p[0][: len(self.buf)], out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * p[1][self.start])
+        return spans(self.buf, self.start, self.end)
 
     def text_of(self) -> np.ndarray:
         """For each word the index of its text."""

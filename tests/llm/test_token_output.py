@@ -21,7 +21,7 @@ def plain():
     return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-TEXTS = ["", None, "a", " ", "hello world", "a  b\n\nc \td ", "it's 12 o'clock. x  y", "é" * 50, "x " * 3000, "tail ", " lead", "\n", "日本 語", "don 't", "a b\n c"]
+TEXTS = ["", None, "a", " ", "hello world", "a  b\n\nc \td ", "it's 12 o'clock. x  y", "é" * 50, "x " * 3000, "tail ", " lead", "\n", "日本 語", "don 't", "a b\n c", "x\u00a0 \u00a0y z", "a\u3000 b\u2003 c", "\u2028 q", "p \u0085 r", "x" * 50_000 + " y"]
 
 
 def test_pieces_give_the_tokens_of_whole_texts(plain, spark, sf):
@@ -64,5 +64,25 @@ def test_shards_hold_every_sequence_once(spark, plain, tmp_path):
     assert hashlib.sha256(raw[HEADER.itemsize :].tobytes()).hexdigest() == r.tokens_sha256
 
 
+def test_slots_do_not_depend_on_splits(spark):
+    docs = [(i % 40 if i % 7 else None, f"text {i} " * (i % 9) * 20) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [sorted((r.slot, r.shard, r.doc_id, r.chunk, r.tokens_sha256) for r in records(materialised(df.repartition(n), length=16, per_shard=20)).collect()) for n in (2, 7)]
+    assert got[0] == got[1] and len(got[0]) > 1000
+
+
+def test_few_known_pieces_give_the_same_tokens(plain, monkeypatch):
+    from assetlake.llm import token_output
+
+    monkeypatch.setattr(token_output, "_KNOWN", 50)
+    t = Tokenizer(VOCABULARY)
+    for k in range(20):
+        texts = [" ".join(f"w{(k * j) % 97}x{j % 31}" for j in range(200)), "same words again and again"]
+        for w in chunks(pa.array(texts), _ANY, lower=False):
+            tokens, first = t(w)
+            assert [tokens[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain(x) for x in texts]
+    assert len(t.names) < 500
+
+
 def test_empty_table(spark):
     assert materialised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
