@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import discard, written
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _mark(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id of ``links`` (u, v); component is the smallest id reachable."""
+    """(id, component), written, for every id of ``links`` (u, v); component is the smallest id reachable."""
     e = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e)
     mark = _mark(e)
@@ -33,9 +33,12 @@ def components(links: DataFrame) -> DataFrame:
         new = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(new.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         now = _mark(new)
+        discard(e)
         e, stands = new, now == mark
         mark = now
         if stands:
             break
     roots = e.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out = written(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    discard(e)
+    return out

@@ -8,10 +8,10 @@ documents (about 1 in 10**9 for sets of hundreds).
 1. Documents with equal sets are one class; its smallest id stands for it.
 2. Shingles go, in compressed blobs of one row per batch and hash range, to the
    task of their range, which finds how many documents hold each. Shingles held
-   by one document are dropped there. Shingles that are frequent inside a batch
-   are found first, ranked last and dealt by (shingle, document), so that one in a
-   third of all documents meets in no single task. The order of shingles only
-   steers the work: any order gives the same links.
+   by one document are dropped there. Shingles that are frequent inside any part of the input (in 16 documents and
+   one in 512) are found first, ranked last and dealt by (shingle, document), so that one in a
+   third of all documents meets in no single task; of any other a range holds 1/250 of the documents at most. The order of
+   shingles only steers the work: any order gives the same links.
 3. A document of which less than ``threshold`` is shared can have no link; the
    rest keep their shared shingles, rarest first.
 4. Small sets enumerate the fixed-size subsets that a link of theirs must share.
@@ -22,24 +22,27 @@ documents (about 1 in 10**9 for sets of hundreds).
    size at which the summed cost of both sides, counted from the data, is least.
 5. Inverted lists are scanned in rounds: first each list against its smallest and
    largest member; what the verified links join into one component is never
-   compared again; last all pairs of a list that still lie in different
-   components. Components and not all pairs are made, but no link between
+   compared again. While what is left would take many comparisons, counted before they are made, and rounds still find
+   links, more rounds compare with one more member each. Last the pairs of a list that still lie in different
+   components: of a pair the smaller set must hold the shingle in its first seventh (for 3/4) and sizes must be near, so lists
+   are cut by place and by segments of size. Components and not all pairs are made, but no link between
    components is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, by_bucket, range_of, runs, unpack
 from .components import components
-from .session import bounded_batches, written
+from .session import bounded_batches, discard, written
 from .words import SPACED, Words, chunks, grams, inside, mixed, per_batch, signed
 
 #: Frequent shingles that are ranked last and dealt by document, at most.
@@ -48,6 +51,10 @@ FREQUENT = 1 << 18
 BUCKET = 600_000
 #: Bytes of text that a batch sorts at once.
 PART = 8 << 20
+#: Comparisons of the last round, times the posts, above which another round with one member comes first.
+MOST_COMPARED = 8
+#: Rounds with one member at most, before the last.
+MOST_ROUNDS = 6
 #: Sets of more shingles are always large.
 MOST_SMALL = 20
 _TOKEN = np.uint64((1 << 48) - 1)
@@ -96,11 +103,11 @@ def described(docs: DataFrame, n: int) -> DataFrame:
         yield from often(tokens, rows)
 
     def often(tokens: list[np.ndarray], rows: int) -> Iterator[pa.RecordBatch]:
-        """Shingles of a 64th of the documents, 32 at least."""
+        """Shingles of a 512th of the documents, 16 at least."""
         token = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
         at = runs(token)
         count = np.diff(np.append(at, len(token)))
-        many = count >= max(32, rows // 64)
+        many = count >= max(16, rows // 512)
         if many.any():
             zero = pa.array(np.zeros(int(many.sum()), np.int64))
             yield pa.record_batch([pa.array(np.ones(len(zero), bool)), pa.array(signed(token[at[many]])), pa.array(count[many]), zero, zero], names=names)
@@ -256,7 +263,7 @@ def _verified(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFra
     return both.where(F.col("common") * (num + den) >= (F.col("nu") + F.col("nv")) * num).select("u", "v")
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, boundary: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, components of class representatives) for documents (doc_id, text)."""
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -271,57 +278,113 @@ def linked(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> tuple[Dat
 
     ranked = _ranked(_dealt(own.where("doc_id is not null"), n, buckets, frequent), buckets)
     alive = written(_survivors(ranked, classes, buckets, num, den))
-    boundary = _boundary(alive, num, den)
-    light = _light(alive, boundary, num, den)
+    boundary = _boundary(alive, num, den) if boundary is None else boundary
+    comp = components(_light(alive, boundary, num, den))
+    comp = _scanned(alive, comp, boundary, num, den)
+    discard(alive)
+    return sized, classes.join(comp, F.col("doc") == F.col("id"), "left").select("n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("component"))
+
 
-    prefix = F.expr(f"slice(shared, 1, cast(greatest(n - cast(ceil(n * {num} / {den}) as long) + 1 - (n - size(shared)), 0) as int))")
-    posts = alive.where(F.col("n") * den >= (boundary + 1) * num).select("doc", "n", (F.col("n") - F.size("shared")).alias("lead"), F.posexplode(prefix).alias("i", "token"))
-    posts = posts.select("token", "doc", "n", (F.col("lead") + F.col("i")).alias("place"))
+def _scanned(alive: DataFrame, comp: DataFrame, boundary: int, num: int, den: int) -> DataFrame:
+    """Components (id, component) joined further by the links of sets of more than ``boundary`` shingles."""
+    n = F.col("n")
+    first = lambda a, b: n - F.ceil(n * a / b).cast("long") + 1
+    prefix = F.slice("shared", 1, F.greatest(first(num, den) - (n - F.size("shared")), F.lit(0)).cast("int"))
+    # sizes of a link lie in one segment or in neighbours
+    segment = F.floor(F.log(n.cast("double")) / math.log(den / num * 1.005))
+    posts = alive.where(n * den >= (boundary + 1) * num).select("doc", "n", segment.alias("segment"), (n - F.size("shared")).alias("lead"), F.posexplode(prefix).alias("i", "token"))
+    posts = written(posts.select("token", "doc", "n", "segment", (F.col("lead") + F.col("i")).alias("place")).withColumn("short", F.col("place") < first(2 * num, num + den)))
+    many = posts.count()
 
-    def may_link(a: str, b: str):
+    def may_link(a: str, b: str) -> Column:
         """Size and position bounds for two posts of one shingle."""
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         rest = 1 + F.least(na - F.col(f"{a}.place") - 1, nb - F.col(f"{b}.place") - 1)
         return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.greatest(na, nb) > boundary) & (rest * (num + den) >= (na + nb) * num)
 
-    links, done, comp = light, None, None
-    for end in (F.min, F.max, None):
-        at = posts
-        if comp is not None:
-            at = at.join(comp, F.col("doc") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc")).drop("id")
+    done: list[DataFrame] = []
+    turn, found = 0, True
+    while many:
+        at = posts.join(comp, F.col("doc") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc")).drop("id")
+        lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+        at = written(at.join(lists, "token"))
+        cost = at.groupBy("token", "segment").agg(F.count_if("short").alias("x"), F.count("*").alias("y"))
+        less = cost.select("token", (F.col("segment") + 1).alias("segment"), F.col("x").alias("before"))
+        cost = cost.join(less, ["token", "segment"], "left").agg(F.sum((F.col("x") + F.coalesce("before", F.lit(0))) * F.col("y").cast("double"))).first()[0]
+        last = cost is None or turn >= 2 and (not found or turn >= MOST_ROUNDS or cost <= MOST_COMPARED * many)
+        if cost is None:
+            discard(at)
+            break
+        if last:
+            x = at.where("short").withColumn("segment", F.explode(F.array(F.col("segment"), F.col("segment") + 1)))
+            pairs = x.alias("a").join(at.alias("b"), ["token", "segment"]).where("a.n < b.n or (a.n = b.n and a.doc < b.doc)")
         else:
-            at = at.withColumn("component", F.col("doc"))
-        mixed_lists = at.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *([end(F.struct("doc", "n", "place", "component")).alias("b")] if end else []))
-        mixed_lists = mixed_lists.where("lo != hi").drop("lo", "hi")
-        if end:
-            pairs = at.alias("a").join(mixed_lists, "token").where(may_link("a", "b"))
-        else:
-            at = written(at.join(mixed_lists, "token"))
-            pairs = at.alias("a").join(at.alias("b"), "token").where("a.doc < b.doc").where(may_link("a", "b"))
-        pairs = pairs.where("a.component != b.component").select(F.greatest("a.doc", "b.doc").alias("u"), F.least("a.doc", "b.doc").alias("v")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
+            who = F.struct("doc", "n", "place", "component")
+            one = (F.min(who), F.max(who), F.max_by(who, F.xxhash64("doc", F.lit(turn))))[min(turn, 2)].alias("b")
+            pairs = at.alias("a").join(at.groupBy("token").agg(one), "token")
+        pairs = pairs.where(may_link("a", "b") & (F.col("a.component") != F.col("b.component"))).select(F.greatest("a.doc", "b.doc").alias("u"), F.least("a.doc", "b.doc").alias("v")).distinct()
+        for before in done:
+            pairs = pairs.join(before, ["u", "v"], "left_anti")
         pairs = written(pairs)
-        done = pairs if done is None else done.unionByName(pairs)
-        links = links.unionByName(_verified(pairs, alive, num, den))
-        comp = written(components(links))
-        links = comp.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    return sized, classes.join(comp, F.col("doc") == F.col("id"), "left").select("n", "s1", "s2", "doc", F.coalesce("component", "doc").alias("component"))
-
-
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+        done.append(pairs)
+        links = written(_verified(pairs, alive, num, den))
+        found = not links.isEmpty()
+        if found:
+            joined = components(links.unionByName(comp.select(F.col("id").alias("u"), F.col("component").alias("v"))))
+            discard(comp)
+            comp = joined
+        discard(at, links)
+        turn += 1
+        if last:
+            break
+    discard(posts, *done)
+    return comp
+
+
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4, boundary: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by
     links), class_id (smallest id with the same set).
 
     Words are A-Z lower-cased runs without ASCII white space. Fewer than ``n`` words
     are one shingle; null, empty and blank texts have none and link with nothing. A row
-    with a null id links with nothing and has null ids. An id may repeat with the same
-    text; other columns are ignored; an empty table gives no rows.
+    with a null id links with nothing and has null ids. Rows of one id are one document: with different texts it has the
+    links of each. A text may have any length; other columns are ignored; an empty table gives no rows. ``boundary`` sets
+    the size up to which sets are small (20 at most is wise); the result is the same for all.
     """
-    sized, classes = linked(docs, n, num, den)
+    return _by_row(*linked(docs, n, num, den, boundary))
+
+
+def _by_row(sized: DataFrame, classes: DataFrame) -> DataFrame:
     rows = sized.join(classes, ["n", "s1", "s2"], "left")
     own = F.col("id").isNotNull()
     return rows.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(own, F.coalesce("component", "id")).alias("component_id"), F.when(own, F.coalesce("doc", "id")).alias("class_id"),
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
+    """The rows of ``docs`` that stay when of each component one document does, with all columns.
+
+    The document with the smallest id stays; rows that share an id are one document, of which one row stays (the one
+    whose columns have the smallest hash). Rows with a null id go if a row with an id has the same set of shingles;
+    of those without, one stays for each set. Texts without words link with nothing, so all with a null id stay.
+    """
+    sized, classes = linked(docs, n, num, den)
+    found = _by_row(sized, classes)
+    goes = F.max(F.col("doc_id") != F.col("component_id")).alias("goes")
+    marks = written(found.where("doc_id is not null").groupBy("doc_id").agg(goes, F.count("*").alias("rows")).where("goes or rows > 1").select(F.col("doc_id").alias("_id"), "goes"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id")).where("_id is not null").join(marks, "_id", "left")
+    least = F.min_by("row", F.xxhash64("row")).alias("row")
+    out = marked.where("goes is null").select("row").unionByName(marked.where("not goes").groupBy("_id").agg(least).select("row"))
+
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for w in chunks(batch.column(1), SPACED, lower=True):
+            count, s1, s2 = _signs(*sets(w, n), len(w))
+            yield pa.record_batch([batch.column(0).slice(w.row, len(w)), pa.array(count), pa.array(signed(s1)), pa.array(signed(s2))], names=["row", "n", "s1", "s2"])
+
+    nameless = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "text")
+    kind = nameless.select("row").schema.add("n", "long").add("s1", "long").add("s2", "long")
+    nameless = nameless.mapInArrow(per_batch(sign), kind)
+    alone = nameless.where("n > 0").join(classes, ["n", "s1", "s2"], "left_anti").groupBy("n", "s1", "s2").agg(least).select("row")
+    return out.unionByName(alone).unionByName(nameless.where("n = 0").select("row")).select("row.*")

@@ -1,8 +1,11 @@
 import random
 import re
 
+import pytest
+
+from assetlake.llm import ngram_join
 from assetlake.llm.components import components
-from assetlake.llm.ngram_join import ngram_components
+from assetlake.llm.ngram_join import ngram_components, one_of_each
 
 
 def shingles(text, n=5):
@@ -56,9 +59,9 @@ def made(seed):
     return list(enumerate(docs))
 
 
-def got(spark, docs):
+def got(spark, docs, **options):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "2 as doc", "3 as s1", "4 as component").repartition(5)
-    return sorted((tuple(r)[:3] for r in ngram_components(df).collect()), key=repr)
+    return sorted((tuple(r)[:3] for r in ngram_components(df, **options).collect()), key=repr)
 
 
 def test_components_match_brute_force(spark):
@@ -68,6 +71,43 @@ def test_components_match_brute_force(spark):
     assert got(spark, docs) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("boundary", [0, 10, 20])
+def test_any_boundary_gives_the_same(spark, boundary):
+    rng = random.Random(7)
+    word, docs = lambda: f"w{rng.randrange(300)}", []
+    for _ in range(120):
+        base = [word() for _ in range(rng.choice([5, 6, 7, 8, 9, 10, 12, 15, 18, 22, 30]))]
+        docs += [near(rng, base, rng.randrange(0, 2)) for _ in range(rng.randrange(1, 4))] + [" ".join(base + [word()])]
+    docs = list(enumerate(docs))
+    assert got(spark, docs, boundary=boundary) == sorted(brute(docs), key=repr)
+
+
+def test_many_unlinked_documents_of_one_template(spark, monkeypatch):
+    """A shingle in most documents, of which few link: more rounds, cut lists, the same components."""
+    monkeypatch.setattr(ngram_join, "MOST_COMPARED", 0)
+    rng = random.Random(9)
+    line = [f"t{k}" for k in range(30)]
+    parts = [[f"p{k}x{j}" for j in range(12)] for k in range(60)]
+    docs = []
+    for _ in range(700):
+        own = [w for k in rng.sample(range(60), rng.choice([1, 2, 3])) for w in parts[k]]
+        docs.append(" ".join(own + line if rng.random() < 0.5 else line + own))
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert 50 < len({c for *_, c in want}) < 690
+    assert got(spark, docs) == sorted(want, key=repr)
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = "one two three four five six", "other words that stand for themselves here"
+    docs = [(3, a, "x"), (2, a, "y"), (2, a, "z"), (2, a, "z"), (None, a, "n"), (None, b, "p"), (None, b, "q"), (7, "", None), (8, None, None), (None, "", "r"), (None, None, "s"), (9, "un deux trois", "t"), (9, "un deux trois", "t")]
+    rows = one_of_each(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)).collect()
+    ids = sorted((r.doc_id for r in rows), key=repr)
+    assert ids == sorted([2, None, 7, 8, None, None, 9], key=repr)
+    assert sum(r.text == a for r in rows) == 1 and sum(r.text == b for r in rows) == 1
+    assert one_of_each(spark.createDataFrame(docs[:0], "doc_id long, text string, source string")).count() == 0
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]
     assert got(spark, docs) == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2)], key=repr)
