@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from assetlake.llm.decontamination import decontaminated
 from assetlake.llm.language_id import identified
 from assetlake.llm.mixing import mixed
-from assetlake.llm.ngram_join import ngram_components
+from assetlake.llm.ngram_join import one_of_each
 from assetlake.llm.session import written
 from assetlake.llm.token_output import materialised
 
@@ -23,9 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of word-shingle similarity 0.75 or more join, the smallest id stays."""
-    gone = ngram_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that links of word-shingle similarity 0.75 or more join, the smallest id stays; of repeated rows
+    and of rows without an id one stays (``one_of_each``)."""
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
