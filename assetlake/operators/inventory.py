@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths
+from .probing import ordered
 
 
 def totals(files: DataFrame, size: str = "size") -> DataFrame:
@@ -50,9 +51,8 @@ def described(files: DataFrame, header: str = "header") -> DataFrame:
 
 
 def numbered(files: DataFrame, by: str = "path", name: str = "ordinal") -> DataFrame:
-    """Ordinals from 1 in the order of lower-cased ``by``: one task orders all rows, so this is for
-    listings and reports; scans number what they read themselves."""
-    return files.withColumn(name, F.row_number().over(Window.orderBy(F.lower(by), by)))
+    """Ordinals from 1 in the order of lower-cased ``by``, then ``by`` itself."""
+    return ordered(files, F.lower(by), F.col(by), name=name)
 
 
 def duplicates(rows: DataFrame, key: Column, ordinal: str = "ordinal") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .probing import ordered
 
 PAGE = 500
 
@@ -64,9 +65,9 @@ def page(rows: DataFrame, *order: str | Column, number: int = 0, size: int = PAG
 
 
 def page_numbers(rows: DataFrame, *order: str | Column, size: int = PAGE) -> DataFrame:
-    """Rows with their page: a report over an ordered listing, which one task numbers."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("page", F.floor((n - 1) / size)).withColumn("place", (n - 1) % size)
+    """Rows of an ordered listing with their page and their place on it, numbered by ranges."""
+    n = F.col("_n") - 1
+    return ordered(rows, *order, name="_n").withColumn("page", F.floor(n / size)).withColumn("place", n % size).drop("_n")
 
 
 def folders(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,12 +192,30 @@ def issues(rows: DataFrame, mode: str = "strict", allow_unknown: bool = False) -
 
 
 def issue_summary(rows: DataFrame, mode: str = "strict", allow_unknown: bool = False) -> DataFrame:
-    """One row: mode, checked, modified, invalid, not_extracted, blocking, warnings, status."""
-    found = issues(rows, mode, allow_unknown).agg(F.count_if(F.col("severity") == "error").alias("blocking"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    s = F.col("state")
-    counts = rows.agg(F.count("*").alias("checked"), F.count_if(s.isin(MODIFIED, INVALID)).alias("modified"), F.count_if(s == INVALID).alias("invalid"), F.count_if(s == NOT_EXTRACTED).alias("not_extracted"))
-    status = F.when(F.col("blocking") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS")
-    return counts.crossJoin(found).select(F.lit(mode).alias("mode"), "*", status.alias("status"))  # one row each
+    return issue_summaries(rows, (mode,), allow_unknown)
+
+
+def issue_summaries(rows: DataFrame, modes: Sequence[str] = ("strict", "experimental"), allow_unknown: bool = False) -> DataFrame:
+    """One row for each mode: mode, checked, modified, invalid, not_extracted, blocking,
+    warnings, status. One pass over the rows counts for all modes."""
+    if set(modes) - {"strict", "experimental"}:
+        raise ValueError(f"unknown mode in {modes!r}")
+    s, none = F.col("state"), F.array().cast("array<string>")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counts = rows.agg(
+        F.count("*").alias("checked"), F.count_if(s.isin(MODIFIED, INVALID)).alias("modified"), F.count_if(s == INVALID).alias("invalid"), F.count_if(s == NOT_EXTRACTED).alias("not_extracted"),
+        F.count_if(s.isin(MISSING, NEW, NOT_VERIFIED)).alias("blocked"), total(F.when(s == INVALID, F.greatest(F.size(F.coalesce("errors", none)), F.lit(1)))).alias("broken"),
+        F.count_if(s.isin(MODIFIED, INVALID) & ~F.col("format").isin(*formats.CHECKED)).alias("unknown"), total(F.size(F.coalesce("warnings", none))).alias("advice"),
+    )
+    each = []
+    for mode in modes:
+        soft = mode == "experimental"
+        hard = [] if soft else ["broken"] if allow_unknown else ["broken", "unknown"]
+        mild = ["advice", *(c for c in ("broken", "unknown") if c not in hard)]
+        add = lambda first, more: reduce(Column.__add__, [F.col(c) for c in more], F.col(first))
+        each.append(F.struct(F.lit(mode).alias("mode"), add("blocked", hard).alias("blocking"), add("advice", mild[1:]).alias("warnings")))
+    out = counts.withColumn("m", F.explode(F.array(*each))).select("m.mode", "checked", "modified", "invalid", "not_extracted", "m.blocking", "m.warnings")
+    return out.withColumn("status", F.when(F.col("blocking") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS"))
 
 
 def replaced(old: DataFrame, new: DataFrame, by: str = "archive") -> DataFrame:

@@ -115,8 +115,7 @@ def test_first_difference_and_keys(spark):
     texts = spark.createDataFrame([(1, "has beta and alpha"), (2, "none"), (3, None)], "id int, text string")
     keys = spark.createDataFrame([(2, "alpha"), (1, "beta")], "priority int, literal string")
     assert [tuple(r) for r in probing.first_key(texts, keys, "id", "text").collect()] == [(1, 1, 5)]
-    with pytest.raises(ValueError):
-        probing.first_key(texts, keys, "id", "text", most_keys=1)
+    assert [tuple(r) for r in probing.first_key(texts, keys, "id", "text", at_once=1).collect()] == [(1, 1, 5)]  # in turns
 
 
 def test_lineage_of_deep_and_empty_forests(spark):
@@ -145,3 +144,25 @@ def test_lineage_has_no_last_level(spark):
     nodes = spark.createDataFrame(rows, "id long, parent long, name string").coalesce(1)
     assert {r.id: r.depth for r in layout.lineage(nodes).collect()} == {i: i for i in range(70)}
     assert {r.id for r in layout.unreached(nodes.where("id < 2 or id >= 100")).collect()} == {100, 101, 102}
+
+
+def test_first_key_of_many(spark):
+    words = [f"k{n}x" for n in range(300)]
+    keys = spark.createDataFrame([(7 * n % 300, w) for n, w in enumerate(words)] + [(3, None), (None, "k1x")], "priority long, literal string")
+    rows = [(i, f"é {words[i % 300]} {words[(i * i) % 300]} end" if i % 3 else None if i % 2 else "none") for i in range(400)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = {}
+    for i, t in rows:
+        hit = sorted((7 * n % 300, w) for n, w in enumerate(words) if t and w in t)
+        if hit:
+            want[i] = (hit[0][0], t.find(hit[0][1]) + 1)
+    for at_once in (10_000, 100):
+        assert {r.id: (r.priority, r.place) for r in probing.first_key(texts, keys, "id", "text", at_once).collect()} == want
+
+
+def test_ordered_numbers_by_ranges(spark):
+    df = spark.createDataFrame([(k * 37 % 101, f"v{k % 5}") for k in range(101)], "k long, v string").repartition(7)
+    rows = {r.k: r.ordinal for r in probing.ordered(df, "v", "k").collect()}
+    want = sorted((f"v{k % 5}", k * 37 % 101) for k in range(101))
+    assert rows == {k: n for n, (_, k) in enumerate(want, 1)}
+    assert probing.ordered(df.limit(0), "k").count() == 0
