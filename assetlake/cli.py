@@ -92,7 +92,7 @@ def unpack_all(spark, a):
 
 @command("packs", "workspace", "folder")
 def repack_all(spark, a):
-    return shown(session(spark, a).repack(a.folder), a)
+    return shown(session(spark, a).repack(a.folder, None, a.mode, a.allow_unknown), a)
 
 
 @command("packs", "workspace")
@@ -171,7 +171,7 @@ def _files(rows: DataFrame, column: str, suffix: str, a: argparse.Namespace) ->
 
 @command("packs", "workspace", "package", "identity", "version")
 def mod_build(spark, a):
-    digest = session(spark, a).package(a.package, {"id": a.identity, "version": a.version, "name": a.identity})
+    digest = session(spark, a).package(a.package, {"id": a.identity, "version": a.version, "name": a.identity}, None, a.mode, a.allow_unknown)
     print(digest)
     return 0
 
@@ -217,6 +217,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         sub.add_argument("--output", help="write rows there as JSON lines")
         sub.add_argument("--rows", type=int, default=50)
         sub.add_argument("--allow-unknown", action="store_true")
+        sub.add_argument("--mode", choices=("strict", "experimental"), default="strict")
     a = parser.parse_args(arguments)
     try:
         return COMMANDS[a.command][1](spark or SparkSession.builder.getOrCreate(), a)

@@ -193,10 +193,10 @@ def extracted(entries: DataFrame, folder: str) -> DataFrame:
     """Writes each entry under folder/archive stem/path, and returns archive, ordinal, path, extracted_size, extracted_sha256, error.
 
     A file is written under another name and renamed when it is whole. One that is there with the same content counts as
-    written, so that a repeated task or run does no harm; any other is left and reported.
+    written, so that a repeated task or run does no harm; any other is left and reported, unless the row has ``restore``.
     """
 
-    def write(archive, location, ordinal, path, offset, stored, unpacked, header) -> Iterator[tuple]:
+    def write(archive, location, ordinal, path, offset, stored, unpacked, header, restore) -> Iterator[tuple]:
         target = os.path.join(folder, os.path.splitext(archive)[0], *path.replace("\\", "/").split("/"))
         part = f"{target}.{os.getpid()}.part"
         h, size = hashlib.sha256(), 0
@@ -207,7 +207,10 @@ def extracted(entries: DataFrame, folder: str) -> DataFrame:
                     h.update(block)
                     size += len(block)
                     f.write(block)
-            publish(part, target)
+            if restore:
+                os.replace(part, target)
+            else:
+                publish(part, target)
         except (OSError, ValueError, zlib.error) as e:
             if os.path.exists(part):
                 os.remove(part)
@@ -215,7 +218,8 @@ def extracted(entries: DataFrame, folder: str) -> DataFrame:
             return
         yield archive, ordinal, path, size, h.hexdigest(), None
 
-    rows = entries.where("error is null").select("archive", "location", "ordinal", "path", "offset", "stored_size", "unpacked_size", "header")
+    restore = F.col("restore") if "restore" in entries.columns else F.lit(False)
+    rows = entries.where("error is null").select("archive", "location", "ordinal", "path", "offset", "stored_size", "unpacked_size", "header", restore.alias("restore"))
     return flat_map(rows, write, "archive string, ordinal long, path string, extracted_size long, extracted_sha256 string, error string")
 
 

@@ -14,11 +14,11 @@ def test_commands(spark, tmp_path, capsys):
     assert run("inspect", packs) == 0 and run("read-index", packs) == 0 and run("verify", packs) == 0
     assert run("unpack-all", packs, ws) == 0 and run("scan-assets", packs, ws) == 0 and run("summarize-assets", packs, ws) == 0
     assert run("asset-baseline", packs, ws, base) == 0 and run("asset-validate", packs, ws, base) == 0
-    (ws / "a/DATA/RAW.BIN").write_bytes(b"edited")
+    (ws / "a/SOUND/NOISE.BIN").write_bytes(b"edited noise")
     assert run("asset-validate", packs, ws, base) == 1 and run("asset-validate", packs, ws, base, "--allow-unknown") == 0
-    assert run("repack-all", packs, ws, tmp_path / "out") == 0 and run("compare", packs, tmp_path / "out") == 0
+    assert run("repack-all", packs, ws, tmp_path / "out") == 2 and run("repack-all", packs, ws, tmp_path / "out", "--allow-unknown") == 0 and run("compare", packs, tmp_path / "out") == 0
     assert "false" in capsys.readouterr().out
-    assert run("mod-build", packs, ws, tmp_path / "m.zip", "mymod", "1.0") == 0 and run("mod-inspect", tmp_path / "m.zip") == 0
+    assert run("mod-build", packs, ws, tmp_path / "m.zip", "mymod", "1.0", "--allow-unknown") == 0 and run("mod-inspect", tmp_path / "m.zip") == 0
     assert run("mod-apply", packs, ws, tmp_path / "m.zip") == 2
     assert run("scan-assets", packs, ws, "--output", tmp_path / "rows") == 0 and spark.read.json(str(tmp_path / "rows")).count() == 3
 
