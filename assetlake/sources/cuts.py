@@ -33,11 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
+def forget_later(path: str) -> None:
+    """Has a folder removed when Python ends."""
+    _made.add(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; removed by ``discard`` or when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    _made.add(path)
+    forget_later(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut = path

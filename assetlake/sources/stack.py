@@ -38,6 +38,12 @@ ENTRIES = (
 )
 
 
+def record(path: str, header: bytes, *numbers: int) -> bytes:
+    """An entry of the index: the numbers are as ``_FIXED`` has them, less the length of the header."""
+    name = path.encode("utf-16le")
+    return struct.pack("<H", len(name) // 2) + name + _FIXED.pack(*numbers, len(header)) + header
+
+
 def xor(data: bytes, key: bytes) -> bytes:
     """Bytes under a repeating key; twice gives them back."""
     if not key:
@@ -279,8 +285,7 @@ class _Rebuild:
             else:
                 self.modified += 1
                 header, at, stored, unpacked = self._edit(source, tag, unpacked, len(header))
-            name = path.encode("utf-16le")
-            self.index.append(struct.pack("<H", len(name) // 2) + name + _FIXED.pack(u1, u2, at, stored, u3, unpacked, len(header)) + header)
+            self.index.append(record(path, header, u1, u2, at, stored, u3, unpacked))
             self.n += 1
         except (OSError, ValueError) as e:
             self.error = f"{path}: {e}"

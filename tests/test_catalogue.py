@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from assetlake.plans import catalogue
+from assetlake.plans import catalogue, roundtrips  # noqa: F401 - registers its queries
 
 
 def plain(v):
