@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import inventory, probing, raster, states
+from .plans.containers import ContainerProject
+from .plans.rasters import RasterProject, palette_bytes, saved
 from .plans.session import CatalogSession
 from .sources import media, packages, stack
 from .sources.catalog import file_catalog
@@ -206,6 +208,72 @@ def duplicates(spark, a):
     return shown(inventory.duplicates(rows, F.lower("path")), a)
 
 
+@command("packs", "workspace")
+def unpack_report(spark, a):
+    return shown(session(spark, a).unpack_all(), a)
+
+
+@command("packs", "workspace", "folder")
+def repack_report(spark, a):
+    return shown(session(spark, a).repack_all(a.folder, a.mode, a.allow_unknown), a)
+
+
+@command("packs", "workspace", "archive", "path")
+def extract(spark, a):
+    """One entry, or with a path that ends in a slash a folder."""
+    s = session(spark, a)
+    one = spark.createDataFrame([(a.archive, a.path)], "archive string, path string")
+    out = s.extract(folders=[(a.archive, a.path)]) if a.path.endswith("/") else s.extract(one)
+    print(out)
+    return 1 if out["failed"] else 0
+
+
+@command("packs", "workspace")
+def asset_preflight(spark, a):
+    s = session(spark, a)
+    s.preflight(None, a.mode, a.allow_unknown)
+    print(s.last_validation.asDict())
+    return 0
+
+
+@command("folder", "pictures", "project")
+def cmap_project_export(spark, a):
+    return shown(RasterProject(spark, a.folder, a.project).export(a.pictures), a)
+
+
+@command("project", "target")
+def cmap_project_build(spark, a):
+    return shown(RasterProject(spark, "", a.project).build(a.target), a)
+
+
+@command("folder", "target")
+def color_to_cmap(spark, a):
+    """Pictures in the palette's colours back to region rasters."""
+    return shown(saved(media.colours_to_raster(pictures(spark, a.folder).where(F.lower("path").endswith(".png")), palette_bytes(spark)), a.target, ".cmap"), a)
+
+
+@command("folder", "project")
+def container_build(spark, a):
+    return shown(ContainerProject(spark, a.folder, a.project).build(), a)
+
+
+@command("folder", "project")
+def container_validate(spark, a):
+    rows = ContainerProject(spark, a.folder, a.project).validate()
+    return shown(rows, a) if not rows.where("severity = 'error'").isEmpty() else 0
+
+
+@command("folder", "project", "target")
+def container_repack(spark, a):
+    return shown(ContainerProject(spark, a.folder, a.project).repack(a.target), a)
+
+
+@command("folder")
+def find_key(spark, a):
+    """Which of the keys in use each file holds, and where."""
+    return shown(probing.find_bytes(pictures(spark, a.folder), stack.KEYS), a)
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="assetlake", description=__doc__)
     subs = parser.add_subparsers(dest="command", required=True)

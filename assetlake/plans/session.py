@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import shutil
 from collections.abc import Sequence
@@ -260,31 +259,42 @@ class CatalogSession:
         self.preflight([r.archive for r in edited.select("archive").distinct().collect()], mode, allow_unknown)  # names of archives
         return packages.build(packages.edited(self.recorded(), self.files()), target, identity, expected)
 
+    def _installed(self) -> str:
+        return os.path.join(self.workspace, OWN, "installed.parquet")
+
+    def _backups(self) -> tuple[str, DataFrame]:
+        folder = os.path.join(self.workspace, OWN, "backup")
+        rows = file_catalog(self.spark, folder, digest=True)
+        return folder, rows.select(paths.first_segment(F.col("path")).alias("archive"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "sha256")
+
     def install(self, package: str) -> list[str]:
+        """Puts a package's files into the workspace and returns their paths; none if that package is installed already."""
         row = self.spark.createDataFrame([(os.path.basename(package), package)], "path string, location string")
         problems = packages.inspected(row).limit(5).collect()
         if problems:
             raise ValueError("; ".join(r.problem for r in problems))
-        manifest = packages.manifests(row)
-        files, backups = self.files(), os.path.join(self.workspace, OWN, "backup")
-        saved = file_catalog(self.spark, backups, digest=True)
-        saved = saved.select(paths.first_segment(F.col("path")).alias("archive"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "sha256")
+        manifest = written(packages.manifests(row))
+        told = manifest.select("id", "version", "name").first().asDict()
+        if os.path.exists(self._installed()):
+            old = self.spark.read.parquet(self._installed()).select("id", "version").first()
+            if (old.id, old.version) == (told["id"], told["version"]):
+                return []
+            raise ValueError(f"{old.id} {old.version} is installed")
+        if broken := packages.refused(manifest, told):
+            raise ValueError("; ".join(broken))
+        files = self.files()
+        backups, saved = self._backups()
         plan = states.apply_plan(manifest, files.select("archive").distinct(), self.recorded(), files, saved)
         done = packages.apply(package, manifest, plan, self.workspace, backups)
-        with open(os.path.join(self.workspace, OWN, "installed.json"), "w") as f:
-            json.dump([r.asDict() for r in manifest.collect()], f)
+        manifest.write.mode("overwrite").parquet(self._installed())
         return done
 
     def uninstall(self) -> list[str]:
-        state = os.path.join(self.workspace, OWN, "installed.json")
-        if not os.path.exists(state):
+        """Takes the installed package's files out again and returns the paths that were restored; none if there is none."""
+        if not os.path.exists(self._installed()):
             return []
-        with open(state) as f:
-            rows = json.load(f)
-        installed = self.spark.createDataFrame([(r["archive"], r["path"], r["original_sha256"], r["modified_sha256"]) for r in rows], "archive string, path string, original_sha256 string, modified_sha256 string")
-        backups = os.path.join(self.workspace, OWN, "backup")
-        saved = file_catalog(self.spark, backups, digest=True)
-        saved = saved.select(paths.first_segment(F.col("path")).alias("archive"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "sha256")
+        installed = self.spark.read.parquet(self._installed()).select("archive", "path", "original_sha256", "modified_sha256")
+        backups, saved = self._backups()
         out = packages.remove(states.remove_plan(installed, self.files(), saved), self.workspace, backups)
-        os.remove(state)
+        shutil.rmtree(self._installed())
         return out

@@ -11,6 +11,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from .stack import publish
 
 #: Fixed value: flags that an object may have.
 FLAGS = (b"\x08\xc0\x00", b"\x18\xc0\x00")
-SAMPLE = 65536
+WHAT = "struct<size:long,sha256:string,sample:binary,width:long,height:long,trailing_bytes:long>"
 OBJECTS = (
     "container string, location string, container_size long, header_end long, root_count long, index long, parent_index long, depth long, name string, path string, record_offset long, "
     "flags string, class_tag long, class_declared string, offset_field long, encoded_offset long, size_field long, encoded_size long, child_count long, error string"
@@ -115,7 +116,7 @@ def laid_out(records: DataFrame) -> DataFrame:
 
 
 def typed(objects_: DataFrame) -> DataFrame:
-    """Adds payload_type and payload_sha256; payloads pass in blocks."""
+    """Adds payload_type and payload_sha256; payloads pass in blocks. One that is cut off is a problem."""
 
     def read(container, location, index, offset, size) -> Iterator[tuple]:
         h, sample = hashlib.sha256(), b""
@@ -125,15 +126,16 @@ def typed(objects_: DataFrame) -> DataFrame:
             while left > 0:
                 block = f.read(min(1 << 20, left))
                 if not block:
-                    break
+                    yield container, index, None, None, "the payload is cut off"
+                    return
                 sample = sample or block[:64]
                 h.update(block)
                 left -= len(block)
-        yield container, index, sample, h.hexdigest()
+        yield container, index, sample, h.hexdigest(), None
 
     rows = objects_.where("problem is null")
-    seen = flat_map(rows.select("container", "location", "index", "payload_offset", "payload_size"), read, "container string, index long, sample binary, payload_sha256 string")
-    out = objects_.join(seen, ["container", "index"], "left")
+    seen = flat_map(rows.select("container", "location", "index", "payload_offset", "payload_size"), read, "container string, index long, sample binary, payload_sha256 string, cut string")
+    out = objects_.join(seen, ["container", "index"], "left").withColumn("problem", F.coalesce("problem", "cut")).drop("cut")
     return out.withColumn("payload_type", F.when(F.col("sample").isNotNull(), formats.payload_type(F.col("sample"), F.col("class_declared")))).drop("sample")
 
 
@@ -155,6 +157,70 @@ def safe_component(name: str) -> str:
     return "%5F" + out if device else out
 
 
+def extracted(objects_: DataFrame, folder: str) -> DataFrame:
+    """Writes each payload under folder/container and returns container, index, file, size, sha256, error.
+
+    A leaf of the tree lies at tree/ and its path, in names that file systems take; any other object at objects/ and its
+    index. A file that is there with the same content counts as written; any other is left and reported.
+    """
+
+    def write(container, location, index, path, kind, offset, size) -> Iterator[tuple]:
+        inner = os.path.join("tree", *map(safe_component, path.split("/"))) if kind == "tree" else os.path.join("objects", f"{index:08d}.bin")
+        file = os.path.join(container, inner)
+        target, h, left = os.path.join(folder, file), hashlib.sha256(), size
+        part = f"{target}.{TaskContext.get().taskAttemptId()}.part"
+        try:
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(location, "rb") as src, open(part, "wb") as dst:
+                src.seek(offset)
+                while left > 0:
+                    block = src.read(min(1 << 20, left))
+                    if not block:
+                        raise ValueError("the payload is cut off")
+                    h.update(block)
+                    dst.write(block)
+                    left -= len(block)
+            publish(part, target)
+        except (OSError, ValueError) as e:
+            if os.path.exists(part):
+                os.remove(part)
+            yield container, index, file, None, None, str(e)
+            return
+        yield container, index, file, size, h.hexdigest(), None
+
+    rows = objects_.where("problem is null").select("container", "location", "index", "path", "storage_kind", "payload_offset", "payload_size")
+    return flat_map(rows, write, "container string, index long, file string, size long, sha256 string, error string")
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """container, index and what = (size, sha256, sample, width, height, trailing_bytes) of payloads (container, index, location,
+    offset, size; all of the file if size is null). Pictures have dimensions, and the bytes after their end."""
+
+    def read(container, index, location, offset, size) -> Iterator[tuple]:
+        if not os.path.exists(location):
+            yield container, index, None
+            return
+        size = os.path.getsize(location) if size is None else size
+        h, sample, left, width, height, trailing = hashlib.sha256(), b"", size, None, None, None
+        with open(location, "rb") as f:
+            f.seek(offset)
+            while left > 0 and (block := f.read(min(1 << 20, left))):
+                sample = sample or block[:64]
+                h.update(block)
+                left -= len(block)
+            if sample.startswith(b"\x89PNG\r\n\x1a\n") and len(sample) >= 24:
+                width, height = struct.unpack_from(">II", sample, 16)
+                at, kind = 8, b""
+                while kind != b"IEND" and at + 12 <= size:
+                    f.seek(offset + at)
+                    n, kind = struct.unpack(">I4s", f.read(8))
+                    at += 12 + n
+                trailing = max(0, size - at)
+        yield container, index, {"size": size, "sha256": h.hexdigest(), "sample": sample, "width": width, "height": height, "trailing_bytes": trailing}
+
+    return flat_map(rows.select("container", "index", "location", "offset", "size"), read, f"container string, index long, what {WHAT}")
+
+
 def rebuilt(objects_: DataFrame, edits: DataFrame, folder: str) -> DataFrame:
     """Rebuilds containers into a folder: container, target, size, objects, changed, error.
 

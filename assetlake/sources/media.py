@@ -171,6 +171,25 @@ def raster_to_png(rasters: DataFrame, palette: bytes = b"") -> DataFrame:
     return flat_map(rasters.where("pixels is not null").select("name", "width", "height", "pixels"), write, "name string, png binary")
 
 
+def colours_to_raster(files: DataFrame, palette: bytes) -> DataFrame:
+    """path, content, error of region rasters from pictures (path, content) in the colours of a palette of 256; any other colour fails."""
+    table = np.frombuffer(palette, np.uint8).reshape(256, 3).astype(np.int64) @ np.array([65536, 256, 1])
+
+    def read(path: str, data: bytes) -> Iterator[tuple]:
+        try:
+            w, h, p = png_rgba(data)
+            value = p[:, :3].astype(np.int64) @ np.array([65536, 256, 1])
+            order = np.argsort(table, kind="stable")
+            at = np.minimum(np.searchsorted(table[order], value), 255)
+            if (table[order][at] != value).any():
+                raise ValueError("a colour is not in the palette")
+            yield path, struct.pack("<II", w, h) + order[at].astype(np.uint8).tobytes(), None
+        except (ValueError, zlib.error, TypeError) as e:
+            yield path, None, str(e)
+
+    return flat_map(files.select("path", "content"), read, "path string, content binary, error string")
+
+
 # ---- Ogg
 
 _MIRROR = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))

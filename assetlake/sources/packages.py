@@ -11,12 +11,18 @@ import json
 import os
 import shutil
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
+from ..operators import rules
 from .arrow import flat_map
+from .catalog import digest
+from .cuts import written
 
 BLOCK = 1 << 20
 MOST_MANIFEST = 1 << 20
@@ -94,84 +100,142 @@ def edited(recorded: DataFrame, workspace: DataFrame) -> DataFrame:
     return out.select("archive", "path", member.alias("member"), F.col("size").alias("size_bytes"), F.col("extracted_sha256").alias("original_sha256"), F.col("sha256").alias("modified_sha256"), "location")
 
 
+def plan_digest(files: DataFrame) -> str:
+    """A digest of what a package is to hold, whatever the order of its rows: of 4,096 groups of rows, then of the groups."""
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("archive", "path", "member", "size_bytes", "original_sha256", "modified_sha256")]), 256)
+    rows = files.select(line.alias("line")).withColumn("group", F.substring("line", 1, 3))
+    fold = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    return rows.groupBy("group").agg(fold("line").alias("line")).agg(fold("line").alias("line")).first().line
+
+
+def refused(files: DataFrame, identity: dict) -> list[str]:
+    """What keeps a package from being built or installed: its identity, and the rules of ``rules.manifest_violations``."""
+    named = files.sparkSession.range(1).select(
+        F.when(~F.coalesce(paths.is_identity(F.lit(identity.get("id"))), F.lit(False)), "the id is not valid").alias("a"), F.when(~F.coalesce(paths.is_version(F.lit(identity.get("version"))), F.lit(False)), "the version is not valid").alias("b"),
+        F.when(F.trim(F.coalesce(F.lit(identity.get("name")), F.lit(""))) == "", "the name is empty").alias("c"),
+    ).first()
+    broken = rules.manifest_violations(files, files.select(F.col("archive").alias("name"))).collect()  # one row a rule
+    return [x for x in named if x] + [f"{r.rule}: {r.n} files" for r in broken]
+
+
 def build(files: DataFrame, target: str, identity: dict, expected: str | None = None) -> str:
-    """Writes a package, one file on one writer as a ZIP must be, and returns its plan's digest.
+    """Writes a package, one file by one task as a ZIP must be, and returns its plan's digest.
 
-    expected: the digest of a plan that was looked at before; a plan that has changed since is not written.
+    expected: the digest of a plan that was looked at before; a plan that has changed since is not written. The task
+    writes under a name of its own; the driver gives the whole file its name.
     """
-    rows = files.select("archive", "path", "member", "size_bytes", "original_sha256", "modified_sha256", "location").orderBy(F.lower("archive"), F.lower("path"), "path")
-    listed = [r.asDict() for r in rows.toLocalIterator()]  # names and digests; contents are copied in blocks
-    digest = hashlib.sha256(json.dumps([{k: v for k, v in r.items() if k != "location"} for r in listed]).encode()).hexdigest()
+    rows = written(files.select("archive", "path", "member", "size_bytes", "original_sha256", "modified_sha256", "location"))
+    if rows.isEmpty():
+        raise ValueError("nothing has changed")
+    digest = plan_digest(rows)
     if expected is not None and digest != expected:
         raise ValueError("the workspace has changed since the plan was made")
-    if not listed:
-        raise ValueError("nothing has changed")
+    if problems := refused(rows, identity):
+        raise ValueError("; ".join(problems))
     if os.path.exists(target):
         raise FileExistsError(target)
-    part = f"{target}.part"
-    manifest = {**identity, "files": [{k: v for k, v in r.items() if k != "location"} for r in listed]}
-    with zipfile.ZipFile(part, "w") as z:
-        z.writestr(zipfile.ZipInfo(MANIFEST), json.dumps(manifest, ensure_ascii=False, indent=2), zipfile.ZIP_DEFLATED)
-        for r in listed:
-            info = zipfile.ZipInfo(r["member"])  # dated 1980, so that equal contents give equal packages
-            info.compress_type = zipfile.ZIP_STORED if r["path"].lower().endswith(STORED) else zipfile.ZIP_DEFLATED
-            h = hashlib.sha256()
-            with open(r["location"], "rb") as src, z.open(info, "w", force_zip64=True) as dst:
-                while block := src.read(BLOCK):
-                    h.update(block)
-                    dst.write(block)
-            if h.hexdigest() != r["modified_sha256"]:
-                os.remove(part)
-                raise ValueError(f"{r['path']} changed while it was packed")
-    os.replace(part, target)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, listed, error = f"{target}.{TaskContext.get().taskAttemptId()}.part", [], None
+        with zipfile.ZipFile(part, "w") as z:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    info = zipfile.ZipInfo(r["member"])  # dated 1980, so that equal contents give equal packages
+                    info.compress_type = zipfile.ZIP_STORED if r["path"].lower().endswith(STORED) else zipfile.ZIP_DEFLATED
+                    h = hashlib.sha256()
+                    with open(r.pop("location"), "rb") as src, z.open(info, "w", force_zip64=True) as dst:
+                        while block := src.read(BLOCK):
+                            h.update(block)
+                            dst.write(block)
+                    if h.hexdigest() != r["modified_sha256"]:
+                        error = error or f"{r['path']} changed while it was packed"
+                    listed.append(r)
+            z.writestr(zipfile.ZipInfo(MANIFEST), json.dumps({**identity, "files": listed}, ensure_ascii=False, indent=2), zipfile.ZIP_DEFLATED)
+        yield pa.record_batch([pa.array([part]), pa.array([error], pa.string())], names=["part", "error"])
+
+    ordered = rows.repartition(1).sortWithinPartitions(F.lower("archive"), F.lower("path"), "path")
+    done = ordered.mapInArrow(write, "part string, error string").first()
+    if done.error:
+        os.remove(done.part)
+        raise ValueError(done.error)
+    os.replace(done.part, target)
     return digest
 
 
+def _each(rows: DataFrame, work: Callable[..., None]) -> DataFrame:
+    """Runs work on each row, in its task: target, error; written, so that it is done once."""
+
+    def run(*row) -> Iterator[tuple]:
+        try:
+            work(*row)
+            yield row[0], None
+        except (OSError, KeyError, ValueError, zipfile.BadZipFile) as e:
+            yield row[0], str(e)
+
+    return written(flat_map(rows, run, "target string, error string"))
+
+
+def _copied(source: str, target: str) -> None:
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    part = f"{target}.{TaskContext.get().taskAttemptId()}.part"
+    shutil.copyfile(source, part)
+    os.replace(part, target)
+
+
 def apply(package: str, manifest: DataFrame, plan: DataFrame, workspace: str, backups: str) -> list[str]:
     """Puts a package's files into a workspace, if every check of the plan (``states.apply_plan``) holds.
 
-    Originals are backed up first; if anything fails, what was done is undone in reverse. Returns the paths.
+    Tasks back originals up and stage the new files beside them; only when all are there and whole are they renamed. If
+    anything fails, what was done is undone. Returns the paths.
     """
     failed = plan.where("failure is not null").select("path", "failure").limit(5).collect()
     if failed:
         raise ValueError("; ".join(f"{r.path}: {r.failure}" for r in failed))
-    done: list[tuple[str, str]] = []
-    try:
-        with zipfile.ZipFile(package) as z:
-            for r in manifest.select("archive", "path", "member", "modified_sha256").toLocalIterator():
-                target, backup = os.path.join(workspace, r.archive, r.path), os.path.join(backups, r.archive, r.path)
-                os.makedirs(os.path.dirname(backup), exist_ok=True)
-                if not os.path.exists(backup):
-                    shutil.copyfile(target, backup)
-                done.append((target, backup))
-                h = hashlib.sha256()
-                with z.open(r.member) as src, open(f"{target}.part", "wb") as dst:
-                    while block := src.read(BLOCK):
-                        h.update(block)
-                        dst.write(block)
-                if h.hexdigest() != r.modified_sha256:
-                    raise ValueError(f"{r.path}: the package is damaged")
-                os.replace(f"{target}.part", target)
-    except Exception:
-        for target, backup in reversed(done):
-            shutil.copyfile(backup, target)
-            if os.path.exists(f"{target}.part"):
-                os.remove(f"{target}.part")
-        raise
-    return [t for t, _ in done]
+    at = lambda root: F.concat_ws("/", F.lit(root), "archive", "path")
+    rows = written(manifest.select(at(workspace).alias("target"), at(backups).alias("backup"), "member", "modified_sha256"))
+
+    def stage(target: str, backup: str, member: str, digest_: str) -> None:
+        if not os.path.exists(backup):
+            _copied(target, backup)
+        h, part = hashlib.sha256(), f"{target}.{TaskContext.get().taskAttemptId()}.part"
+        with zipfile.ZipFile(package) as z, z.open(member) as src, open(part, "wb") as dst:
+            while block := src.read(BLOCK):
+                h.update(block)
+                dst.write(block)
+        if h.hexdigest() != digest_:
+            os.remove(part)
+            raise ValueError("the package is damaged")
+        os.replace(part, f"{target}.staged")
+
+    def publish(target: str, digest_: str) -> None:
+        if os.path.exists(f"{target}.staged"):
+            os.replace(f"{target}.staged", target)
+        elif digest(target) != digest_:
+            raise ValueError("the staged file is gone")
+
+    def undo(target: str, backup: str) -> None:
+        if os.path.exists(f"{target}.staged"):
+            os.remove(f"{target}.staged")
+        _copied(backup, target)
+
+    done = _each(rows, stage)
+    if done.where("error is not null").isEmpty():
+        done = _each(rows.select("target", "modified_sha256"), publish)
+    bad = done.where("error is not null").limit(5).collect()
+    if bad:
+        _each(rows.select("target", "backup"), undo)
+        raise ValueError("; ".join(f"{r.target}: {r.error}" for r in bad))
+    return sorted(r.target for r in rows.select("target").collect())  # names
 
 
 def remove(plan: DataFrame, workspace: str, backups: str) -> list[str]:
-    """Restores the originals of an installed package, if the plan (``states.remove_plan``) has no conflict."""
+    """Restores the originals of an installed package in tasks, if the plan (``states.remove_plan``) has no conflict."""
     bad = plan.where("conflict is not null").select("path", "conflict").limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r.path}: {r.conflict}" for r in bad))
-    out = []
-    for r in plan.where("needs_restore").select("archive", "path").toLocalIterator():
-        target = os.path.join(workspace, r.archive, r.path)
-        shutil.copyfile(os.path.join(backups, r.archive, r.path), f"{target}.part")
-        os.replace(f"{target}.part", target)
-        out.append(target)
-    return out
-
-
+    at = lambda root: F.concat_ws("/", F.lit(root), "archive", "path")
+    rows = written(plan.where("needs_restore").select(at(workspace).alias("target"), at(backups).alias("backup")))
+    failed = _each(rows, lambda target, backup: _copied(backup, target)).where("error is not null").limit(5).collect()
+    if failed:
+        raise OSError("; ".join(f"{r.target}: {r.error}" for r in failed))
+    return sorted(r.target for r in rows.select("target").collect())  # names

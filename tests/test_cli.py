@@ -33,6 +33,7 @@ def test_raster_commands(spark, tmp_path):
     assert media.png_rgba((tmp_path / "color/a.png").read_bytes())[:2] == (4, 2)
     assert run("png-to-cmap", tmp_path / "png", tmp_path / "back") == 0
     assert (tmp_path / "back/a.cmap").read_bytes() == data
+    assert run("color-to-cmap", tmp_path / "color", tmp_path / "back2") == 0 and (tmp_path / "back2/a.cmap").read_bytes() == data
     assert run("cmap-to-png", maps, tmp_path / "png") == 0  # the same again
     (tmp_path / "png/a.png").write_bytes(b"other")
     assert run("cmap-to-png", maps, tmp_path / "png") == 1  # never overwritten
