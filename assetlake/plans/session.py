@@ -51,7 +51,7 @@ class CatalogSession:
 
     def index(self) -> DataFrame:
         """Entries of all archives; archive is the name without its ending."""
-        rows = file_catalog(self.spark, self.packs).where(F.lower("path").endswith(".gpk"))
+        rows = file_catalog(self.spark, self.packs, partition=1 << 15).where(F.lower("path").endswith(".gpk"))  # eight archives a task
         return stack.stack_index(rows, self.key)
 
     def objects(self, folder: str | None = None) -> DataFrame:
