@@ -66,7 +66,9 @@ def word_features(w: Words) -> list[np.ndarray]:
 def trigrams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(table row of three bytes around each byte; begin and end of the bytes of each word)."""
     b = _bytes(w).astype(np.uint64)
-    x = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:]
+    before, after = b[:-2].copy(), b[2:].copy()
+    before[w.start], after[w.end - 1] = 0x20, 0x20  # the neighbour in the chunk may be another text
+    x = (before << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | after
     return _row(x, 6), w.start, w.end
 
 
@@ -187,21 +189,23 @@ def fit(texts: list[str], labels: list[str], steps: int = 25, rate: float = 0.15
     return Model(names, table, move)
 
 
-def train(docs: DataFrame, per_language: int = 150, languages: int = 64, **options) -> Model:
+def train(docs: DataFrame, per_language: int = 150, languages: int = 64, longest: int = 1 << 15, **options) -> Model:
     """Fits on about ``per_language`` documents of each lang, those with the least hash of their id.
 
     docs (doc_id, text, lang). Rows with a null in lang or text are not used; every other lang is learned. Beyond
     ``languages`` of them, documents of each become fewer with the square of their number, one at least, since the
     fit holds words times languages. At most twice that many of each (2 * per_language * languages in all, or
-    2 of each if these are more) come to the driver, whole. Weights take 256 kB a language.
+    2 of each if these are more) come to the driver, whole; none of more than ``longest`` bytes, but where a language has
+    only such, its shortest. Weights take 256 kB a language.
     """
     bounded_batches(docs.sparkSession)
     u = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    own = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", u.alias("u"))
-    each = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("first"))
+    over = F.greatest(F.octet_length("text"), F.lit(longest)).alias("over")
+    own = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", u.alias("u"), over)
+    each = own.groupBy("lang").agg(F.count_if(F.col("over") == longest).alias("n"), F.min(F.struct("over", "u")).alias("first"))
     each = each.withColumn("most", F.greatest(F.lit(1.0), F.lit(float(per_language)) * F.least(F.lit(1.0), F.pow(F.lit(float(languages)) / F.count("*").over(Window.partitionBy()), 2))))
-    chosen = own.join(F.broadcast(each), "lang").where("u * n < most or u = first")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.xxhash64("text")))
+    chosen = own.join(F.broadcast(each), "lang").where(((F.col("over") == longest) & (F.col("u") * F.col("n") < F.col("most"))) | (F.struct("over", "u") == F.col("first")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("over", "u", "doc_id", F.xxhash64("text")))
     got = chosen.withColumn("place", place).where("place <= 2 * most").orderBy("u", "doc_id", "lang").select("lang", "text").toArrow()
     return fit(got["text"].to_pylist(), got["lang"].to_pylist(), **options)
 

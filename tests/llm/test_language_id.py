@@ -1,9 +1,12 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from assetlake.llm.language_id import fit, forward_backward, identified, labelled, language_id, train
+from assetlake.llm.language_id import LETTERS, TABLE, Model, fit, forward_backward, identified, labelled, language_id, train
+from assetlake.llm.words import chunks, mixed
 
 
 def test_forward_backward_matches_enumeration():
@@ -24,6 +27,48 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(marginal, want) and np.allclose(pairs, want_pairs) and np.isclose(log_z, want_z)
 
 
+def test_labels_match_brute_force(spark):
+    """Features, table and chains of a model with random weights, word by word and path by path."""
+    rng = np.random.default_rng(2)
+    model = Model(["de", "en", "fr"], rng.normal(size=(TABLE, 3)).astype(np.float32), rng.normal(size=(3, 3)))
+    texts = ["Le chat. Und der", "a", "été b", "Eins zwei, 3 drei|vier", "x y z! ab", "ends here", "Begins. o", "ü", "one two three four"]
+
+    def row(x, kind):
+        return int(mixed(np.array([(x * 8 + kind) % (1 << 64)], np.uint64))[0]) >> 48
+
+    def weights(word):
+        h = int(next(iter(chunks(pa.array([word.decode()]), LETTERS, lower=True))).hashes()[0])
+        two, back = word[:2].ljust(2, b"\0"), word[::-1]
+        affixes = [two, (word[:3] if len(word) > 2 else two + b"\0"), back[:2].ljust(2, b"\0"), back[:3].ljust(3, b"\0")]
+        rows = [row(h, 0), *(row(int.from_bytes(x), k) for k, x in enumerate(affixes, 1))]
+        rows += [row(int.from_bytes((b" " + word + b" ")[i : i + 3]), 6) for i in range(len(word))]
+        return model.table[rows].sum(0, dtype=float)
+
+    def brute(text):
+        total, words = np.zeros(3), 0
+        for sentence in re.split(rb"[\n\r.!?;|]", text.encode()):
+            e = [weights(x.lower()) for x in re.findall(rb"[A-Za-z\x80-\xff]+", sentence)]
+            paths = list(itertools.product(range(3), repeat=len(e)))
+            chance = np.exp([sum(e[i][y] for i, y in enumerate(p)) + sum(model.move[a, b] for a, b in itertools.pairwise(p)) for p in paths])
+            for p, c in zip(paths, chance / chance.sum()):
+                for y in p:
+                    total[y] += c
+            words += len(e)
+        return model.names[total.argmax()], total.max() / words
+
+    for parts in (1, 4):  # labels do not depend on what stands beside a text
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1) if parts == 1 else spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        for r in labelled(df, model).collect():
+            lang, score = brute(texts[r.doc_id])
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_sample_leaves_long_texts_out(spark):
+    rows = [(i, "le chat et la maison " * (1 if i else 4000), "fr") for i in range(40)] + [(100, "der Hund und die Katze " * 3000, "de"), (101, "der Hund und die Katze " * 2000, "de")]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), steps=1)
+    assert model.names == ["de", "fr"]
+
+
 def test_test_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
