@@ -1,7 +1,13 @@
+import math
 import random
+import re
 import zlib
 
-from assetlake.llm.toxicity import toxicity
+import numpy as np
+import pyarrow as pa
+
+from assetlake.llm.toxicity import CALM, Model, features, scored, toxicity
+from assetlake.llm.words import ALNUM, chunks
 
 
 def made(n=400):
@@ -45,6 +51,30 @@ def test_held_out_documents_and_offending_sentences(spark):
     assert by[None].predicted == 1 and by[1003].predicted == 0 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_scores_match_brute_force(spark):
+    """The noisy-or of a model with given weights, sentence by sentence."""
+    words = ["idiot", "scum", "vile", "of"]
+
+    def found(word):
+        return set(features(next(iter(chunks(pa.array([word]), ALNUM, lower=True))))[1].tolist())
+
+    keys = np.array(sorted(set().union(*map(found, words))), np.uint64)
+    weight = dict(zip(keys.tolist(), np.random.default_rng(4).normal(size=len(keys)).tolist()))
+    texts = ["You Idiot. A vile thing! fine", "scum of idiots|idiot idiot", "nothing here; at all", "", None, "vi", "end idiot", "of of. OF?\nscumbag"]
+
+    def brute(text):
+        calm = 1.0
+        for sentence in re.split(r"[\n\r.!?;|]", text or ""):
+            if said := re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", sentence):
+                held = set().union(*map(found, said)) & set(weight)
+                calm *= 1 - (1 / (1 + math.exp(1.0 - sum(weight[k] for k in held))) if held else CALM)
+        return 1 - calm
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in scored(df, Model(keys, np.array([weight[k] for k in keys.tolist()]), -1.0)).collect():
+        assert abs(r.score - brute(texts[r.doc_id])) < 1e-9
+
+
 def test_no_labels_and_empty_table(spark):
     docs, labels = made(20)
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
