@@ -55,6 +55,11 @@ def detect(header: Column, extension: Column | None = None, size: Column | None
     return out.otherwise(UNKNOWN)
 
 
+def is_container(content: Column) -> Column:
+    """Do bytes begin as an object container does?"""
+    return F.coalesce(_begins(F.hex(F.substring(content, 1, len(CONTAINER) // 2)), CONTAINER), F.lit(False))
+
+
 def payload_type(sample: Column, declared: Column) -> Column:
     """A container payload's type by first bytes, then by the class its record declares."""
     h = F.hex(sample)

@@ -55,6 +55,18 @@ def numbered(files: DataFrame, by: str = "path", name: str = "ordinal") -> DataF
     return ordered(files, F.lower(by), F.col(by), name=name)
 
 
+def archive_problems(files: DataFrame, suffix: str = ".gpk") -> DataFrame:
+    """stem, problem of a folder of archives, names compared without case: stems that two of its own files have; a folder without any has one row.
+
+    files: path, relative to the folder. Files in folders below it are not its own.
+    """
+    own = files.where(~F.contains("path", F.lit("/")) & F.lower("path").endswith(suffix))
+    stems = own.groupBy(F.lower(paths.stem(F.col("path"))).alias("stem")).agg(F.count("*").alias("n"))
+    twice = stems.where("n > 1").select("stem", F.lit("two archives have this name").alias("problem"))
+    none = own.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("stem"), F.lit("no archives").alias("problem"))
+    return twice.unionByName(none)
+
+
 def duplicates(rows: DataFrame, key: Column, ordinal: str = "ordinal") -> DataFrame:
     """Keys that more than one row has: key, rows, first ordinal."""
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n_rows"), F.min(ordinal).alias("first")).where("n_rows > 1")

@@ -51,6 +51,24 @@ def select_rows(rows: DataFrame, files: DataFrame | None = None, folders: Iterab
     return rows.join(named, ["archive", "path"], "left").where(F.coalesce("named", F.lit(False)) | inside).drop("named")
 
 
+def preferred(rows: DataFrame, marks: DataFrame | None = None, picked: DataFrame | None = None, files: DataFrame | None = None, folders: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """What a user means: the rows they marked; without marks those picked in the table; without these files and folders of the tree.
+
+    Marks, picked rows and files have archive and path; marks that the catalog no longer has count for nothing.
+    """
+    for names in (marks, picked):
+        if names is not None:
+            own = rows.join(names.select("archive", "path").distinct(), ["archive", "path"], "left_semi")
+            if not own.isEmpty():
+                return own
+    return select_rows(rows, files, folders)
+
+
+def natural(rows: DataFrame, name: str = "row") -> DataFrame:
+    """Rows (archive, path, is_extra, ordinal) numbered in natural order: archives by name, entries as their index has them, then extra files."""
+    return ordered(rows, F.lower("archive"), "archive", "is_extra", "ordinal", F.lower("path"), "path", name=name)
+
+
 def by_archive(rows: DataFrame) -> DataFrame:
     """archive, paths in catalog order. A selection is as long as its reader wants; large ones stay rows."""
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", "path")))
@@ -83,3 +101,8 @@ def still_there(marks: DataFrame, rows: DataFrame) -> DataFrame:
 
 def choices(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(column).distinct()
+
+
+def choices_in_order(rows: DataFrame, column: str, ordinal: str = "ordinal") -> DataFrame:
+    """Distinct values with the ordinal at which each is first seen."""
+    return rows.groupBy(column).agg(F.min(ordinal).alias("first_seen"))

@@ -59,6 +59,11 @@ def refreshed(index: DataFrame, recorded: DataFrame, workspace: DataFrame) -> Da
     return out.select(*KEY, state.alias("state"), F.coalesce("file_size", "index_size").alias("size"), "sha256", F.when(state == INVALID, F.col("errors")).alias("errors"))
 
 
+def nontrivial(rows: DataFrame) -> DataFrame:
+    """Rows that a user has to look at: neither original nor not extracted."""
+    return rows.where(~F.col("state").isin(ORIGINAL, NOT_EXTRACTED))
+
+
 def baseline(recorded: DataFrame, workspace: DataFrame) -> DataFrame:
     """archive, path, sha256, status PASS or FAIL, error: is each extracted entry as it was recorded?"""
     files = workspace.select(*KEY, F.lit(True).alias("present"), "sha256")

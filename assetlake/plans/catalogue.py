@@ -256,15 +256,18 @@ s AS (SELECT *, CASE WHEN NOT indexed THEN 'novo' WHEN NOT taken AND present THE
   WHEN sha256 IS NOT DISTINCT FROM extracted_sha256 THEN 'original' WHEN broken THEN 'inválido' ELSE 'modificado' END AS state FROM j)"""
 
 
+def refreshed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.refreshed(files(spark, sf_dir), recorded(spark, sf_dir), workspace(spark, sf_dir))
+
+
 @query(REFRESHED + " SELECT archive, path, state, size FROM s")
 def six_state_refresh(spark, sf_dir):
-    return states.refreshed(files(spark, sf_dir), recorded(spark, sf_dir), workspace(spark, sf_dir)).select("archive", "path", "state", "size")
+    return refreshed_rows(spark, sf_dir).select("archive", "path", "state", "size")
 
 
 @query(REFRESHED + " SELECT state, count(*) AS n FROM s GROUP BY 1")
 def six_state_counts(spark, sf_dir):
-    out = states.refreshed(files(spark, sf_dir), recorded(spark, sf_dir), workspace(spark, sf_dir))
-    return out.groupBy("state").agg(F.count("*").alias("n"))
+    return refreshed_rows(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
 
 BASE = f"""WITH {VERSIONS}, b AS (SELECT r.archive, r.path, w.sha256, CASE WHEN w.path IS NULL THEN 'Asset is missing from workspace' WHEN w.sha256 IS DISTINCT FROM r.extracted_sha256 THEN 'Workspace is not clean' END AS error

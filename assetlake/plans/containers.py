@@ -56,7 +56,7 @@ class ContainerProject:
     def _files(self) -> tuple[DataFrame, DataFrame]:
         """(containers, other files) of the reference."""
         rows = file_catalog(self.spark, self.reference, digest=True)
-        is_one = F.hex(F.substring("header", 1, 18)) == formats.CONTAINER
+        is_one = formats.is_container(F.col("header"))
         return rows.where(is_one), rows.where(~is_one)
 
     def objects(self) -> DataFrame:

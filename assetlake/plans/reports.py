@@ -1,18 +1,21 @@
-"""Reports of a catalog: tables as Parquet and JSON lines, listings as text."""
+"""Reports of a catalog: tables as Parquet or JSON lines, listings as text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions.binary import human_size
 from ..operators import inventory
 
 
-def write_tables(folder: str, **tables: DataFrame) -> None:
-    """Each table as Parquet under its name; a report that is there is not overwritten."""
+def write_tables(folder: str, form: str = "parquet", **tables: DataFrame) -> None:
+    """Each table under its name as ``form``, parquet or json (lines); a report that is there is not overwritten."""
+    if form not in ("parquet", "json"):
+        raise ValueError(f"unknown form {form!r}")
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        df.write.format(form).mode("errorifexists").save(f"{folder}/{name}")
 
 
 def listing(assets: DataFrame) -> DataFrame:
@@ -21,6 +24,11 @@ def listing(assets: DataFrame) -> DataFrame:
     return inventory.report_lines(rows).orderBy("ordinal").select("line")
 
 
+def unknown(assets: DataFrame) -> DataFrame:
+    """The listing of files whose format is not known, numbered among themselves."""
+    return listing(assets.where(F.col("detected_format") == formats.UNKNOWN))
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
     """Lines of ``inventory.summary``: the total, then each level, largest count first."""
     text = F.concat_ws("  ", "level", F.coalesce("archive", F.lit("*")), F.coalesce("key", F.lit("*")), F.col("file_count").cast("string"), human_size(F.col("total_size")))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import formats, paths
 from ..functions.binary import hex_text, printable, space_needed
 from ..operators import assets, inventory, layout, rules, selection, states
-from ..operators.probing import ordered
 from ..sources import container, packages, stack
 from ..sources.catalog import file_catalog
 from ..sources.cuts import written
@@ -128,7 +127,7 @@ class CatalogSession:
 
     def natural(self, rows: DataFrame) -> DataFrame:
         """Rows of ``refresh`` with their row number in natural order."""
-        return ordered(rows, F.lower("archive"), "archive", "is_extra", "ordinal", F.lower("path"), "path", name="row")
+        return selection.natural(rows)
 
     def compared(self, edits: DataFrame) -> DataFrame:
         """archive, path, errors, warnings of edited files (archive, path, location). Only what was edited is read: the index
@@ -207,6 +206,9 @@ class CatalogSession:
         PASS; SKIPPED_COMPLETE where all is recorded; FAILED, or PARTIAL where some entries failed; INSUFFICIENT_SPACE where
         the disk has no room for what is to be done, and nothing is written; NOT_RUN where ``stop_on_error`` and an unreadable archive kept all from starting.
         """
+        bad = inventory.archive_problems(file_catalog(self.spark, self.packs).select(paths.name(F.col("path")).alias("path"))).limit(5).collect()
+        if bad:
+            raise ValueError("; ".join(r.problem if r.stem is None else f"{r.stem}: {r.problem}" for r in bad))
         index = written(self.index().withColumn("stem", paths.stem(F.col("archive"))))
         known = self.recorded()
         known = index.limit(0).select("stem", "path") if known is None else known.select(F.col("archive").alias("stem"), "path")

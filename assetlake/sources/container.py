@@ -11,8 +11,9 @@ import os
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, formats
@@ -157,6 +158,16 @@ def safe_component(name: str) -> str:
     return "%5F" + out if device else out
 
 
+def safe_name(name: Column) -> Column:
+    """``safe_component`` of a column, in Arrow batches."""
+
+    def make(names: pa.Array) -> pa.Array:
+        return pa.array([None if n is None else safe_component(n) for n in names.to_pylist()], pa.string())
+
+    make.__annotations__ = {"names": pa.Array, "return": pa.Array}
+    return F.arrow_udf(make, "string")(name)
+
+
 def extracted(objects_: DataFrame, folder: str) -> DataFrame:
     """Writes each payload under folder/container and returns container, index, file, size, sha256, error.
 

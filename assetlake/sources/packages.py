@@ -100,6 +100,11 @@ def edited(recorded: DataFrame, workspace: DataFrame) -> DataFrame:
     return out.select("archive", "path", member.alias("member"), F.col("size").alias("size_bytes"), F.col("extracted_sha256").alias("original_sha256"), F.col("sha256").alias("modified_sha256"), "location")
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """archive, files, bytes of a package's rows, and one row for all of them, whose archive is null."""
+    return files.rollup("archive").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
 def plan_digest(files: DataFrame) -> str:
     """A digest of what a package is to hold, whatever the order of its rows: of 4,096 groups of rows, then of the groups."""
     line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("archive", "path", "member", "size_bytes", "original_sha256", "modified_sha256")]), 256)

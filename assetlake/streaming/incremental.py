@@ -1,17 +1,21 @@
 """A catalog kept up to date from a stream of scans.
 
-Scans arrive as Parquet files of catalog rows in a folder. The stream takes what is new, keeps the latest row of
-each (archive, path) in a table, and stops (available now), so that a run after each scan is an incremental batch.
+Scans arrive as Parquet files of catalog rows in a folder. The stream takes what is new, and stops (available now), so
+that a run after each scan is an incremental batch. A batch writes its own latest rows only, as a delta; a read merges
+the last base with the deltas after it, and every few batches they become a new base.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 KEY = ["archive", "path"]
+BASE, DELTA = "base=", "delta="
+#: Batches from one base to the next.
+EVERY = 16
 
 
 def latest(rows: DataFrame, key: list[str] = KEY, at: str = "scanned_at") -> DataFrame:
@@ -21,42 +25,75 @@ def latest(rows: DataFrame, key: list[str] = KEY, at: str = "scanned_at") -> Dat
     return rows.groupBy(*key).agg(newest).select(*key, "row.*")
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    return latest(old.unionByName(new))
+def keep_catalog(spark: SparkSession, scans: str, schema: StructType | str, state: str, checkpoint: str, every: int = EVERY) -> StreamingQuery:
+    """Merges new scans into the table in ``state``, which ``current`` reads.
 
-
-def keep_catalog(spark: SparkSession, scans: str, schema: StructType | str, state: str, checkpoint: str) -> StreamingQuery:
-    """Merges new scans into the versions of a table in ``state``: version n is state/v=n, the largest the current one.
-
-    A batch writes a version under its own number, so that a repeated batch writes the same again.
+    Batch n writes state/delta=n, so that a repeated batch writes the same again; each ``every``-th also writes
+    state/base=n, the whole table then, and removes what came before the base ahead of it. One older base stays for
+    whoever reads it.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = current(batch.sparkSession, state, below=number)
-        rows = latest(batch) if before is None else merged(before, batch)
-        rows.write.mode("overwrite").parquet(f"{state}/v={number:010d}")
+        session = batch.sparkSession
+        latest(batch).write.mode("overwrite").parquet(_path(state, DELTA, number))
+        if number % every == every - 1:
+            whole = current(session, state, upto=number)
+            whole.write.mode("overwrite").parquet(_path(state, BASE, number))
+            _forget(session, state, number)
 
     stream = spark.readStream.schema(schema).parquet(scans)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, state: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of the table (below a number), or None."""
+def _path(state: str, kind: str, number: int) -> str:
+    return f"{state}/{kind}{number:010d}"
+
+
+def _store(spark: SparkSession, state: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(state)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, state: str) -> dict[str, list[int]]:
+    """Numbers of the bases and deltas that are whole, in order."""
+    fs, path = _store(spark, state)
+    out: dict[str, list[int]] = {BASE: [], DELTA: []}
+    if fs.exists(path):
+        for f in fs.listStatus(path):
+            name = f.getPath().getName()
+            kind = name[: name.find("=") + 1]
+            if kind in out and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")):
+                out[kind].append(int(name[len(kind) :]))
+    return {kind: sorted(numbers) for kind, numbers in out.items()}
+
+
+def current(spark: SparkSession, state: str, upto: int | None = None) -> DataFrame | None:
+    """The table after the last batch, or None. ``upto``: after that batch, without a base of its own."""
+    found = _versions(spark, state)
+    bases = [n for n in found[BASE] if upto is None or n < upto]
+    first = bases[-1] if bases else -1
+    deltas = [n for n in found[DELTA] if n > first and (upto is None or n <= upto)]
+    parts = [_path(state, BASE, first)] * bool(bases) + [_path(state, DELTA, n) for n in deltas]
+    if not parts:
         return None
-    numbers = sorted(int(f.getPath().getName()[2:]) for f in fs.listStatus(path) if f.getPath().getName().startswith("v="))
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{state}/v={numbers[-1]:010d}") if numbers else None
+    rows = spark.read.parquet(*parts)
+    return latest(rows) if len(parts) > 1 else rows
+
+
+def _forget(spark: SparkSession, state: str, number: int) -> None:
+    """Removes bases and deltas that the base before ``number`` has made needless."""
+    found = _versions(spark, state)
+    before = [n for n in found[BASE] if n < number]
+    if not before:
+        return
+    fs, _ = _store(spark, state)
+    for kind, last in ((BASE, before[-1] - 1), (DELTA, before[-1])):
+        for n in found[kind]:
+            if n <= last:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(_path(state, kind, n)), True)
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Events of each type in windows of time, of a batch or a stream with a bound on lateness."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
-
-
-def newest_first(rows: DataFrame, at: str = "scanned_at") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(at)))
-    return rows.withColumn("version", n)
