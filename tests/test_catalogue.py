@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from assetlake.plans import catalogue, roundtrips, rulebook  # noqa: F401 - they register their queries
+from assetlake.plans import catalogue, dataflows, roundtrips, rulebook  # noqa: F401 - they register their queries
 
 
 def plain(v):

@@ -88,6 +88,12 @@ def test_incremental_catalog(spark, tmp_path):
     keep_catalog(spark, scans, schema, state, checkpoint).awaitTermination()
     assert {(r.archive, r.path): r["size"] for r in current(spark, state).collect()} == {("a", "x"): 5, ("a", "y"): 2, ("b", "z"): 3}
     assert current(spark, str(tmp_path / "none")) is None
+    for n in range(3, 9):
+        put([("a", "x", n, n)])
+        keep_catalog(spark, scans, schema, state, checkpoint, every=3).awaitTermination()
+    got = {(r.archive, r.path): r["size"] for r in current(spark, state).collect()}
+    assert got == {("a", "x"): 8, ("a", "y"): 2, ("b", "z"): 3}
+    assert sorted(os.listdir(state)) == [f"{kind}={n:010d}" for kind, n in (("base", 2), ("base", 5), *(("delta", n) for n in range(3, 8)))]  # one older base stays
     assert os.path.exists(state) and current(spark, state).where(F.col("size") > 4).count() == 1
 
 
