@@ -165,12 +165,14 @@ def requested(names: DataFrame, workspaces: DataFrame) -> DataFrame:
 
 
 def identity_violations(expected: DataFrame, actual: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
-    """Places (``on``) where two tables that must agree row by row do not: fields compared with nulls equal."""
-    a = expected.select(*on, F.struct(*fields).alias("expected"), F.lit(True).alias("in_expected"))
-    b = actual.select(*on, F.struct(*fields).alias("actual"), F.lit(True).alias("in_actual"))
-    both = a.join(b, on, "full_outer")
-    problem = F.when(F.col("in_actual").isNull(), "missing").when(F.col("in_expected").isNull(), "extra").when(~F.col("expected").eqNullSafe(F.col("actual")), "differs")
-    return both.select(*on, problem.alias("problem")).where("problem is not null")
+    """Places (``on``) where two tables that must agree row by row do not: fields compared with nulls equal. Rows that share
+    a place must occur equally often on both sides, in any order; a place is told once."""
+    side = lambda rows, n: rows.select(*on, F.struct(*fields).alias("fields"), F.lit(n).alias("side"))
+    rows = side(expected, 1).unionByName(side(actual, -1))
+    each = rows.groupBy(*on, "fields").agg(F.sum("side").alias("balance"), F.min("side").alias("least"), F.max("side").alias("most"))
+    places = each.groupBy(*on).agg(F.max(F.col("balance") != 0).alias("differs"), F.min("least").alias("least"), F.max("most").alias("most"))
+    problem = F.when(F.col("least") == 1, "missing").when(F.col("most") == -1, "extra").when(F.col("differs"), "differs")
+    return places.select(*on, problem.alias("problem")).where("problem is not null")
 
 
 def issues(rows: DataFrame, mode: str = "strict", allow_unknown: bool = False) -> DataFrame:
