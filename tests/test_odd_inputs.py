@@ -23,3 +23,9 @@ def test_identity_of_repeated_places(spark):
     got = states.identity_violations(old, new, ["k"], ["a", "b"]).collect()
     assert sorted(map(tuple, got)) == [(3, "missing"), (4, "differs"), (5, "extra")]
     assert states.identity_violations(old, old.repartition(5), ["k"], ["a", "b"]).count() == 0
+
+
+def test_pictures_of_one_pattern(spark, tmp_path):
+    texts = ["And " * 20, "a" * 70, "".join(chr(33 + k) for k in range(80)), "ab" * 32]
+    got, want = against_sql(spark, "raster_project_build", tmp_path, [(10 * k, "s", "en", texts[k % 4]) for k in range(24)])
+    assert got == want and {r[1] for r in got} == {"UNCHANGED", "MODIFIED", "FAIL"}
