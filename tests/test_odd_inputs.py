@@ -1,9 +1,14 @@
 """Repeated places, pictures that turning leaves as they are, and packages and archives of many small files."""
 
+import hashlib
+import zipfile
+
 import duckdb
+from pyspark.sql import functions as F
 
 from assetlake.operators import states
 from assetlake.plans import catalogue, dataflows  # noqa: F401 - registers its queries
+from assetlake.sources import packages
 
 
 def against_sql(spark, name, folder, documents):
@@ -29,3 +34,16 @@ def test_pictures_of_one_pattern(spark, tmp_path):
     texts = ["And " * 20, "a" * 70, "".join(chr(33 + k) for k in range(80)), "ab" * 32]
     got, want = against_sql(spark, "raster_project_build", tmp_path, [(10 * k, "s", "en", texts[k % 4]) for k in range(24)])
     assert got == want and {r[1] for r in got} == {"UNCHANGED", "MODIFIED", "FAIL"}
+
+
+def test_members_are_dealt(spark, tmp_path):
+    rows = []
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            for n in range(300):
+                z.writestr(f"files/{n}", f"{k} {n}")
+        rows.append((f"{k}.zip", str(tmp_path / f"{k}.zip")))
+    found = packages.members(spark.createDataFrame(rows, "path string, location string").coalesce(1))
+    own = found.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.package, r.member): r.sha256 for r in own} == {(f"{k}.zip", f"files/{n}"): hashlib.sha256(f"{k} {n}".encode()).hexdigest() for k in range(2) for n in range(300)}
+    assert len({r.task for r in own}) > 4
