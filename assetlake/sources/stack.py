@@ -3,7 +3,7 @@
 An archive is a body, a protected index and a 32-byte footer. The index is a
 32-bit length and a zlib stream, under a repeating XOR key or none; its records give each
 entry's name, place, sizes and the first bytes of its payload. One task reads one archive's
-index; payloads are read entry by entry wherever their rows are.
+index; entries are dealt over all tasks before their payloads are read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from .arrow import _batch, arrow_schema, flat_map
+from .arrow import _batch, arrow_schema, flat_map, spread
 from .catalog import digest
 
 #: Keys that archives in use have, tried in this order after a given one.
@@ -192,6 +192,7 @@ def payloads(entries: DataFrame, with_content: bool = True) -> DataFrame:
         yield archive, ordinal, path, size, h.hexdigest(), b"".join(kept) if with_content else None, None
 
     rows = entries.where("error is null").select("archive", "location", "ordinal", "path", "offset", "stored_size", "unpacked_size", "header")
+    rows = spread(rows, "location", "ordinal")
     return flat_map(rows, read, "archive string, ordinal long, path string, content_size long, sha256 string, content binary, error string", block=16)
 
 
@@ -226,6 +227,7 @@ def extracted(entries: DataFrame, folder: str) -> DataFrame:
 
     restore = F.col("restore") if "restore" in entries.columns else F.lit(False)
     rows = entries.where("error is null").select("archive", "location", "ordinal", "path", "offset", "stored_size", "unpacked_size", "header", restore.alias("restore"))
+    rows = spread(rows, "location", "ordinal")
     return flat_map(rows, write, "archive string, ordinal long, path string, extracted_size long, extracted_sha256 string, error string")
 
 

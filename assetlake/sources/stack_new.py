@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrow import _batch, arrow_schema
+from .arrow import _batch, arrow_schema, flat_map
 from .stack import FIRST, LAST, publish, record, xor
 
 DONE = "archive string, target string, size long, entries long, error string"
@@ -21,7 +22,7 @@ def created(rows: DataFrame, folder: str, key: bytes | None = None, header: int
     """Writes an archive for each ``archive`` of rows (archive, ordinal, path, content, packed) into a folder: archive, target,
     size, entries, error.
 
-    Entries stream past in the order of their ordinal; ``header`` first bytes of each go to the index. An archive that is there with
+    Entries are packed where their rows are, then stream past in the order of their ordinal; ``header`` first bytes of each go to the index. An archive that is there with
     the same content counts as written; any other is left and reported.
     """
     arrow = arrow_schema(DONE)
@@ -44,7 +45,7 @@ def created(rows: DataFrame, folder: str, key: bytes | None = None, header: int
                 done.append((f"{now}.gpk", None, None, len(index), str(e)))
 
         for batch in batches:
-            for archive, path, content, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for archive, path, stored, size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive != now:
                     if now is not None:
                         finish()
@@ -52,14 +53,18 @@ def created(rows: DataFrame, folder: str, key: bytes | None = None, header: int
                     now, index = archive, []
                     out = open(os.path.join(folder, f"{archive}.{TaskContext.get().taskAttemptId()}.part"), "wb")  # noqa: SIM115
                     out.write(prefix)
-                stored = zlib.compress(content, 9) if packed else content
                 tag = int.from_bytes(b"DFLT", "little") if packed else 0
-                index.append(record(path, stored[:header], 0, 0, out.tell(), len(stored), tag, len(content) if packed else 0))
+                index.append(record(path, stored[:header], 0, 0, out.tell(), len(stored), tag, size if packed else 0))
                 out.write(stored[header:])
         if now is not None:
             finish()
         if done:
             yield _batch(done, arrow)
 
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "ordinal")
-    return ordered.select("archive", "path", "content", "packed").mapInArrow(write, DONE)
+    def pack(archive: str, ordinal: int, path: str, content: bytes, packed: bool) -> Iterator[tuple]:
+        yield archive, ordinal, path, zlib.compress(content, 9) if packed else content, len(content), packed
+
+    own = rows.select("archive", F.col("ordinal").cast("long").alias("ordinal"), "path", "content", "packed")
+    stored = flat_map(own, pack, "archive string, ordinal long, path string, stored binary, size long, packed boolean")
+    ordered = stored.repartition("archive").sortWithinPartitions("archive", "ordinal")
+    return ordered.select("archive", "path", "stored", "size", "packed").mapInArrow(write, DONE)
