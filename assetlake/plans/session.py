@@ -83,6 +83,7 @@ class CatalogSession:
         done = self.recorded()
         todo = entries if done is None else entries.withColumn("stem", paths.stem(F.col("archive"))).join(done.select(F.col("archive").alias("stem"), "path"), ["stem", "path"], "left_anti")
         size = F.when(F.col("is_packed"), F.col("unpacked_size")).otherwise(F.col("stored_size"))
+        todo = written(todo)  # indexes are read once
         need = todo.agg(space_needed(F.coalesce(F.sum(size), F.lit(0))).alias("n")).first().n
         os.makedirs(os.path.join(self.workspace, OWN), exist_ok=True)
         if need > shutil.disk_usage(self.workspace).free - (reserve or 0):
@@ -111,14 +112,14 @@ class CatalogSession:
 
         ``check``: edits are held against the originals; those that do not fit are invalid.
         """
-        index, files = self._sizes(), self.files()
+        index, files = written(self._sizes()), written(self.files())  # listed and digested once
         known = self.recorded()
         if known is None:
             known = index.limit(0).select("archive", "path", F.lit(True).alias("extracted"), F.lit("").alias("extracted_sha256"))
         files = files.select("archive", "path", "size", "sha256", "location")
         if check:
             was = known.select("archive", "path", F.col("extracted_sha256").alias("was"))
-            files = files.join(self.compared(files.join(was, ["archive", "path"]).where("sha256 != was")), ["archive", "path"], "left")
+            files = files.join(written(self.compared(files.join(was, ["archive", "path"]).where("sha256 != was"))), ["archive", "path"], "left")
         else:
             files = files.withColumns({"errors": F.lit(None).cast("array<string>"), "warnings": F.lit(None).cast("array<string>")})
         rows = states.refreshed(index, known, files)
@@ -177,7 +178,7 @@ class CatalogSession:
     def _rebuilt(self, rows: DataFrame, folder: str) -> DataFrame:
         stems = rows.select(F.col("archive").alias("stem")).distinct()
         entries = self.index().withColumn("stem", paths.stem(F.col("archive"))).join(stems, "stem", "left_semi")
-        edits = rows.where(F.col("state").isin(states.MODIFIED, states.INVALID)).select(F.col("archive").alias("stem"), "path").join(self.files().select(F.col("archive").alias("stem"), "path", F.col("location").alias("source")), ["stem", "path"])
+        edits = rows.where(F.col("state").isin(states.MODIFIED, states.INVALID)).select(F.col("archive").alias("stem"), "path", F.concat_ws("/", F.lit(self.workspace), "archive", "path").alias("source"))
         full = entries.select("archive", "stem").distinct()
         return stack.rebuilt(entries.drop("stem"), edits.join(full, "stem").select("archive", "path", "source"), folder)
 
@@ -257,7 +258,7 @@ class CatalogSession:
 
     def package(self, target: str, identity: dict, expected: str | None = None, mode: str = "strict", allow_unknown: bool = False) -> str:
         """Builds a package of the workspace's edits, after ``preflight`` of the edited archives."""
-        edited = packages.edited(self.recorded(), self.files())
+        edited = written(packages.edited(self.recorded(), self.files()))
         self.preflight([r.archive for r in edited.select("archive").distinct().collect()], mode, allow_unknown)  # names of archives
         return packages.build(packages.edited(self.recorded(), self.files()), target, identity, expected)
 
@@ -284,7 +285,7 @@ class CatalogSession:
             raise ValueError(f"{old.id} {old.version} is installed")
         if broken := packages.refused(manifest, told):
             raise ValueError("; ".join(broken))
-        files = self.files()
+        files = written(self.files())
         backups, saved = self._backups()
         plan = states.apply_plan(manifest, files.select("archive").distinct(), self.recorded(), files, saved)
         done = packages.apply(package, manifest, plan, self.workspace, backups)
