@@ -1,6 +1,7 @@
 """Repeated places, pictures that turning leaves as they are, and packages and archives of many small files."""
 
 import hashlib
+import json
 import zipfile
 
 import duckdb
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 
 from assetlake.operators import states
 from assetlake.plans import catalogue, dataflows  # noqa: F401 - registers its queries
-from assetlake.sources import packages
+from assetlake.sources import packages, stack
+from assetlake.sources.catalog import file_catalog
+from assetlake.sources.stack_new import created
 
 
 def against_sql(spark, name, folder, documents):
@@ -47,3 +50,28 @@ def test_members_are_dealt(spark, tmp_path):
     own = found.withColumn("task", F.spark_partition_id()).collect()
     assert {(r.package, r.member): r.sha256 for r in own} == {(f"{k}.zip", f"files/{n}"): hashlib.sha256(f"{k} {n}".encode()).hexdigest() for k in range(2) for n in range(300)}
     assert len({r.task for r in own}) > 4
+
+
+def test_manifest_of_many_files(spark, tmp_path):
+    files = [{"archive": "a", "path": f"{n:0200d}", "member": f"files/a/{n:0200d}", "size_bytes": 1, "original_sha256": "0" * 64, "modified_sha256": "1" * 64} for n in range(2000)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.writestr(f["member"], "x")
+        z.writestr(packages.MANIFEST, json.dumps({"id": "a", "version": "1", "name": "n", "files": files}))
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(packages.MANIFEST, " " * (packages.MOST_MANIFEST + packages.MEMBER_MANIFEST + 1))
+    rows = spark.createDataFrame([(f"{p}.zip", str(tmp_path / f"{p}.zip")) for p in "ab"], "path string, location string")
+    got = packages.manifests(rows).groupBy("package", "error").count().collect()
+    assert sorted(map(tuple, got)) == [("a.zip", None, 2000), ("b.zip", "the manifest is too large", 1)]
+
+
+def test_entries_of_one_archive_are_dealt(spark, tmp_path):
+    rows = spark.range(500).select(F.lit("one").alias("archive"), F.col("id").alias("ordinal"), F.format_string("d/%d", "id").alias("path"), F.encode(F.format_string("text %d", "id"), "UTF-8").alias("content"), (F.col("id") % 2 == 0).alias("packed"))
+    assert created(rows, str(tmp_path / "packs"), b"key").where("error is not null").count() == 0
+    entries = stack.stack_index(file_catalog(spark, str(tmp_path / "packs")), b"key")
+    assert [r.path for r in entries.orderBy("ordinal").collect()] == [f"d/{n}" for n in range(500)]
+    want = {f"d/{n}": hashlib.sha256(f"text {n}".encode()).hexdigest() for n in range(500)}
+    for made, sha in ((stack.payloads(entries), "sha256"), (stack.extracted(entries, str(tmp_path / "out")), "extracted_sha256")):
+        got = made.withColumn("task", F.spark_partition_id()).collect()
+        assert {r.path: r[sha] for r in got} == want and len({r.task for r in got}) > 4
+    assert {r.path: r.sha256 for r in file_catalog(spark, str(tmp_path / "out"), digest=True).collect()} == {f"one/{p}": s for p, s in want.items()}
