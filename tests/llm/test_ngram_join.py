@@ -122,3 +122,13 @@ def test_test_tables(spark, sf):
 def test_chain_of_links(spark):
     rows = {r.id: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(5, 60)] + [(100, 101), (7, 7)], "u long, v long")).collect()}
     assert rows == {i: 5 for i in range(5, 61)} | {100: 100, 101: 100}
+
+
+def test_components_in_one_task_and_in_steps(spark):
+    from assetlake.llm import components as own
+
+    links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(100, 7), (200, 201), (-5, 201)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(3)
+    want = {**{k: 0 for k in range(41)}, **{100 + k: 0 for k in range(30)}, 200: -5, 201: -5, -5: -5}
+    for few in (0, 20, 1000):
+        assert {r.id: r.component for r in own.components(df, few).collect()} == want
