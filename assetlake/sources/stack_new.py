@@ -22,7 +22,7 @@ def created(rows: DataFrame, folder: str, key: bytes | None = None, header: int
     """Writes an archive for each ``archive`` of rows (archive, ordinal, path, content, packed) into a folder: archive, target,
     size, entries, error.
 
-    Entries are packed where their rows are, then stream past in the order of their ordinal; ``header`` first bytes of each go to the index. An archive that is there with
+    Entries are packed where their rows are (not empty ones: an unpacked size of 0 says that an entry is stored as it is), then stream past in the order of their ordinal; ``header`` first bytes of each go to the index. An archive that is there with
     the same content counts as written; any other is left and reported.
     """
     arrow = arrow_schema(DONE)
@@ -62,6 +62,7 @@ def created(rows: DataFrame, folder: str, key: bytes | None = None, header: int
             yield _batch(done, arrow)
 
     def pack(archive: str, ordinal: int, path: str, content: bytes, packed: bool) -> Iterator[tuple]:
+        packed = packed and len(content) > 0
         yield archive, ordinal, path, zlib.compress(content, 9) if packed else content, len(content), packed
 
     own = rows.select("archive", F.col("ordinal").cast("long").alias("ordinal"), "path", "content", "packed")
