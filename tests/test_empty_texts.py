@@ -4,7 +4,7 @@ import pytest
 
 from .test_odd_inputs import against_sql
 
-QUERIES = ["archive_extraction", "archive_payloads_verified", "archive_rebuild", "batch_rebuild", "workspace_states"]
+QUERIES = ["archive_extraction", "archive_payloads_verified", "archive_rebuild", "batch_rebuild", "package_cycle", "workspace_states"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
