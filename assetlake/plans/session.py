@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import shutil
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,8 @@ from ..functions import formats, paths
 from ..functions.binary import hex_text, printable, space_needed
 from ..operators import assets, inventory, layout, rules, selection, states
 from ..sources import container, packages, stack
-from ..sources.catalog import file_catalog
+from ..sources.arrow import flat_map, spread
+from ..sources.catalog import digest, file_catalog
 from ..sources.cuts import written
 
 #: Where a workspace keeps what is recorded of it; never a part of its catalog.
@@ -103,16 +104,32 @@ class CatalogSession:
         rows = file_catalog(self.spark, self.workspace, digest=True).where(~F.startswith("path", F.lit(f"{OWN}/")) & F.contains("path", F.lit("/")))
         return rows.select(paths.first_segment(F.col("path")).alias("archive"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "size", "sha256", "location")
 
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """archive, path, size, sha256, location of those files of the workspace that rows (archive, path) name, archives in
+        any case; no other file is listed or read."""
+        root = self.workspace
+        folders = [(n, n.lower()) for n in sorted(os.listdir(root)) if n != OWN and os.path.isdir(os.path.join(root, n))]  # names of archives
+
+        def read(archive: str, path: str) -> Iterator[tuple]:
+            location = os.path.join(root, archive, path)
+            if os.path.isfile(location):
+                yield archive, path, os.path.getsize(location), digest(location), location
+
+        own = self.spark.createDataFrame(folders, "folder string, low string")
+        named = rows.select(F.lower("archive").alias("low"), "path").distinct().join(F.broadcast(own), "low").select("folder", "path")
+        return flat_map(spread(named, "folder", "path"), read, "archive string, path string, size long, sha256 string, location string")
+
     def _sizes(self) -> DataFrame:
         return self.index().where("error is null").select(paths.stem(F.col("archive")).alias("archive"), "path", "ordinal", F.when(F.col("is_packed"), F.col("unpacked_size")).otherwise(F.col("stored_size")).alias("size"))
 
-    def refresh(self, check: bool = False) -> DataFrame:
+    def refresh(self, check: bool = False, files: DataFrame | None = None) -> DataFrame:
         """The state of every entry and file, with archive, ordinal and is_extra for the natural order: archives by
         name, entries as their index has them, then extra files by path.
 
-        ``check``: edits are held against the originals; those that do not fit are invalid.
+        ``check``: edits are held against the originals; those that do not fit are invalid. ``files``: what ``files`` gave,
+        where it is written already.
         """
-        index, files = written(self._sizes()), written(self.files())  # listed and digested once
+        index, files = written(self._sizes()), written(self.files()) if files is None else files  # listed and digested once
         known = self.recorded()
         if known is None:
             known = index.limit(0).select("archive", "path", F.lit(True).alias("extracted"), F.lit("").alias("extracted_sha256"))
@@ -155,13 +172,13 @@ class CatalogSession:
         found = self.compared(files.join(base.select("archive", "path", F.col("sha256").alias("was")), ["archive", "path"]).where("sha256 != was"))
         return states.validated(base, files.join(found, ["archive", "path"], "left"), allow_unknown)
 
-    def preflight(self, names: list[str] | None = None, mode: str = "strict", allow_unknown: bool = False) -> DataFrame:
+    def preflight(self, names: list[str] | None = None, mode: str = "strict", allow_unknown: bool = False, files: DataFrame | None = None) -> DataFrame:
         """The checked rows of archives (all, or those named), if nothing blocks; raises ``ValidationBlocked`` otherwise.
 
         Problems of the container always block; edits that do not fit or are of unknown format only warn in
         mode 'experimental', unknown ones also with ``allow_unknown``.
         """
-        rows = self.refresh(check=True)
+        rows = self.refresh(check=True, files=files)
         if names is not None:
             rows = rows.where(F.lower("archive").isin(*[n.lower() for n in names]) if names else F.lit(False))
         rows = written(rows)
@@ -257,10 +274,12 @@ class CatalogSession:
     # -- packages
 
     def package(self, target: str, identity: dict, expected: str | None = None, mode: str = "strict", allow_unknown: bool = False) -> str:
-        """Builds a package of the workspace's edits, after ``preflight`` of the edited archives."""
-        edited = written(packages.edited(self.recorded(), self.files()))
-        self.preflight([r.archive for r in edited.select("archive").distinct().collect()], mode, allow_unknown)  # names of archives
-        return packages.build(packages.edited(self.recorded(), self.files()), target, identity, expected)
+        """Builds a package of the workspace's edits, after ``preflight`` of the edited archives. The workspace is listed and
+        digested once; a file that has changed since is found when it is packed."""
+        files = written(self.files())
+        edited = written(packages.edited(self.recorded(), files))
+        self.preflight([r.archive for r in edited.select("archive").distinct().collect()], mode, allow_unknown, files)  # names of archives
+        return packages.build(edited, target, identity, expected)
 
     def _installed(self) -> str:
         return os.path.join(self.workspace, OWN, "installed.parquet")
@@ -285,7 +304,7 @@ class CatalogSession:
             raise ValueError(f"{old.id} {old.version} is installed")
         if broken := packages.refused(manifest, told):
             raise ValueError("; ".join(broken))
-        files = written(self.files())
+        files = written(self._named(manifest))
         backups, saved = self._backups()
         plan = states.apply_plan(manifest, files.select("archive").distinct(), self.recorded(), files, saved)
         done = packages.apply(package, manifest, plan, self.workspace, backups)
@@ -298,6 +317,6 @@ class CatalogSession:
             return []
         installed = self.spark.read.parquet(self._installed()).select("archive", "path", "original_sha256", "modified_sha256")
         backups, saved = self._backups()
-        out = packages.remove(states.remove_plan(installed, self.files(), saved), self.workspace, backups)
+        out = packages.remove(states.remove_plan(installed, self._named(installed), saved), self.workspace, backups)
         shutil.rmtree(self._installed())
         return out
