@@ -57,6 +57,34 @@ def test_only_named_files_are_read(spark, tmp_path):
     assert [(r.archive, r.path, r["size"], r.sha256) for r in got] == [("x", "a.txt", 550, hashlib.sha256(FILES["a.txt"]).hexdigest())]
 
 
+def installed(spark, tmp_path, damaged=None):
+    """Applies a package of new texts for all files; of a damaged one the manifest has another digest."""
+    rows(spark, tmp_path / "ws")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for path in FILES:
+            z.writestr(f"files/x/{path}", f"new {path}")
+    manifest = [("x", path, f"files/x/{path}", hashlib.sha256(f"new {path}{'!' if path == damaged else ''}".encode()).hexdigest()) for path in FILES]
+    plan = spark.createDataFrame([("x", path, None) for path in FILES], "archive string, path string, failure string")
+    return p.apply(str(tmp_path / "a.zip"), spark.createDataFrame(manifest, "archive string, path string, member string, modified_sha256 string"), plan, str(tmp_path / "ws"), str(tmp_path / "ws/.assetlake/backup"))
+
+
+def test_originals_become_backups(spark, tmp_path):
+    rows(spark, tmp_path / "ws")
+    (tmp_path / "kept").mkdir()
+    os.link(tmp_path / "ws/x/c/long.txt", tmp_path / "kept/long.txt")
+    inode = os.stat(tmp_path / "kept/long.txt").st_ino
+    assert installed(spark, tmp_path) == sorted(str(tmp_path / "ws/x" / path) for path in FILES)
+    back = tmp_path / "ws/.assetlake/backup/x"
+    assert {path: (back / path).read_bytes() for path in FILES} == FILES and os.stat(back / "c/long.txt").st_ino == inode  # not copied
+    assert all((tmp_path / "ws/x" / path).read_text() == f"new {path}" for path in FILES)
+
+
+def test_damaged_package_leaves_all_as_it_was(spark, tmp_path):
+    with pytest.raises(ValueError, match="damaged"):
+        installed(spark, tmp_path, damaged="b.png")
+    assert {str(f.relative_to(tmp_path / "ws/x")): f.read_bytes() for f in (tmp_path / "ws").rglob("*") if f.is_file()} == FILES
+
+
 def test_workspace_is_listed_once(spark, tmp_path, monkeypatch):
     """A package, and its installation and removal, list the workspace once between them."""
     from .test_stack import build
